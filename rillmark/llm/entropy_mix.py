@@ -6,11 +6,12 @@ is one column, such as the source). The dual is convex and smooth, the optimal r
 exponentially tilted, ``rate_d = exp(sum of the multipliers of the cells d is in)``, and the
 Newton step needs only token sums: its gradient and Hessian are aggregated over the table
 of distinct cell combinations, which Spark builds with map-side partial sums. Rates are
-then rounded to whole copies by systematic sampling along the sizes.
+then rounded to whole copies, from the largest documents to the smallest.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ MAX_REPEAT = 3
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
 ROWS_PER_RUN = 20_000
+CLASSES_PER_OCTAVE = 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = MAX_REPEAT) -> DataFrame:
@@ -101,11 +103,11 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     rounded on their own. A source without words has target 0. An empty table gives an empty
     result. Only ``doc_id, text, source`` are read, so further columns can't clash.
 
-    Rounding: a source's documents stand in the order of their size class (an eighth of an
-    octave) and a hash; the n-th gets one copy above the whole part of its rate whenever the
-    running sum of the fractions passes a whole number. So copies are spread evenly over
-    sizes, and a source misses its target by about one large document at most. The order is
-    cut into runs, so no source is sorted in one task.
+    Rounding goes from a source's largest documents to its smallest, by classes of a part of
+    an octave; each class gets a whole number of copies and the rate of the smaller ones is
+    solved again for the words still due, so a source misses its target by a small part of
+    a document where it has small ones. In a class the copies are spread evenly in the order
+    of a hash. The order is cut into runs, so no source or class is sorted in one task.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = stage_table(docs.select("doc_id", "source", size.alias("size")), "word-counts")
@@ -123,33 +125,60 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     return _round_to_copies(rows)
 
 
+def _copies_by_class(classes: pd.DataFrame) -> pd.DataFrame:
+    """Whole copies for each size class of one source, the largest documents first.
+
+    What the classes rounded so far took too much or too little is a change of the token
+    constraint for the rest: the tilt of the classes left is solved anew for the tokens
+    that are still due. The rate stays between 0 and the largest repeat.
+    """
+    classes = classes.sort_values("class", ascending=False)
+    due = float(classes["target"].iloc[0])
+    left = float(classes["tokens"].sum())
+    given = []
+    for n, tokens in zip(classes["n"], classes["tokens"], strict=True):
+        rate = min(max(due / left, 0.0), float(MAX_REPEAT)) if left else 1.0
+        given.append(int(n * rate + 0.5))
+        due -= given[-1] * tokens / n
+        left -= tokens
+    return classes.assign(given=given)[["source", "class", "n", "given"]]
+
+
 def _round_to_copies(rows: DataFrame) -> DataFrame:
-    whole = F.floor(F.col("rate") + F.lit(1e-9))
+    """Deal each class's copies evenly over its documents, in runs of bounded length."""
     draw = F.xxhash64("doc_id", "size")
     rows = (
-        rows.withColumn("frac", F.greatest(F.lit(0.0), F.col("rate") - whole))
-        .withColumn("class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+        rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
         .withColumn("run", F.pmod(draw, F.col("runs")).cast("long"))
         .withColumn("draw", draw)
     )
-    run = ["source", "class", "run"]
-    before = Window.partitionBy("source").orderBy("class", "run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy(*run)
-        .agg(F.count("*").alias("n"))
-        .withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .drop("n")
+    per_run = rows.groupBy("source", "class", "run").agg(
+        F.count("*").alias("n"), F.sum("size").alias("tokens"), F.first("target").alias("target")
+    )
+    per_run = stage_table(per_run, "size-classes")
+    of_class = ["source", "class"]
+    dealt = (
+        per_run.groupBy(*of_class)
+        .agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.first("target").alias("target"))
+        .groupBy("source")
+        .applyInPandas(_copies_by_class, "source string, class int, n long, given long")
+    )
+    before = Window.partitionBy(*of_class).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_run.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*of_class, "run", "start")
+    per_run = (
+        starts.alias("s")
+        .join(dealt.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.class") == F.col("c.class")))
+        .select("s.source", "s.class", "s.run", "s.start", "c.n", "c.given")
     )
-    within = Window.partitionBy(*run).orderBy("draw", "doc_id", "size")
-    place = F.col("b.start") + F.col("a.at")
-    up = F.floor(place * F.col("frac") + 0.5) > F.floor((place - 1) * F.col("frac") + 0.5)
+    within = Window.partitionBy(*of_class, "run").orderBy("draw", "doc_id", "size")
+    upto = lambda place: F.expr(f"(2 * ({place}) * b.given + b.n) div (2 * b.n)")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.run") == F.col("b.run"))
     return (
         rows.withColumn("at", F.row_number().over(within))
         .alias("a")
-        .join(starts.alias("b"), same)
+        .join(per_run.alias("b"), same)
         .select(
             "a.doc_id", "a.source", "a.size", "source_size", "target", "rate",
-            (F.when(F.col("a.size") == 0, F.lit(1)).otherwise(whole + F.when(up, 1).otherwise(0))).cast("long").alias("copies"),
+            F.when(F.col("a.size") == 0, F.lit(1)).otherwise(upto("b.start + a.at") - upto("b.start + a.at - 1")).cast("long").alias("copies"),
         )
     )
