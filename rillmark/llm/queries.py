@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark.deploy import ship_package
 from rillmark.llm.entropy_mix import mix_documents
 from rillmark.llm.kk_shards import shard_documents
+from rillmark.llm.partenum import jaccard_components
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -25,8 +28,13 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op8_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"), percent=85, shingle=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kk_shards": op2_kk_shards,
     "op6_entropy_mix": op6_entropy_mix,
+    "op8_partenum_jaccard": op8_partenum_jaccard,
 }
 ORACLES: dict[str, str] = {}
