@@ -11,6 +11,7 @@ from rillmark.deploy import ship_package
 from rillmark.llm.entropy_mix import mix_documents
 from rillmark.llm.kk_shards import shard_documents
 from rillmark.llm.partenum import jaccard_components
+from rillmark.llm.suffix_dedup import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,9 +33,15 @@ def op8_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), percent=85, shingle=4)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_read(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kk_shards": op2_kk_shards,
     "op6_entropy_mix": op6_entropy_mix,
     "op8_partenum_jaccard": op8_partenum_jaccard,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
