@@ -184,57 +184,78 @@ def _signature_blobs(percent: int, shingle: int, buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: classes of equal sets, and who shares a signature with which smallest document."""
-    held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+def _meet(buckets: int):
+    """Of each bucket: classes of equal sets, and who shares a signature with which smallest document.
+
+    The latter pairs arise again in many buckets, so they leave packed, by home of the smallest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for b, s, g in zip(*(column(batch, c).to_pylist() for c in ("bucket", "sets", "signatures")), strict=True):
+                own = held.setdefault(b, ([], []))
+                if s:
+                    own[0].append(s)
+                if g:
+                    own[1].append(g)
+        for b in list(held):
+            sets, sigs = held.pop(b)
+            if sets:
+                doc, n, one, two = (np.concatenate(x) for x in zip(*(unpack(s, np.int64, np.int64, U64, U64) for s in sets), strict=True))
+                order = np.lexsort((doc, two, one))
+                doc, n, one, two = doc[order], n[order], one[order], two[order]
+                new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+                smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+                yield _rows(doc, n, np.where(n > 0, smallest, doc), [], [])
+            if sigs:
+                parts = [unpack(g, np.int64, np.int32, U64) for g in sigs]
+                sigs.clear()
+                owner = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+                sig = np.concatenate([p[2] for p in parts])
+                parts.clear()
+                order = np.lexsort((owner, sig))
+                owner, sig = owner[order], sig[order]
+                new = np.r_[True, sig[1:] != sig[:-1]]
+                hub = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+                met = np.flatnonzero(hub != owner)
+                if len(met):
+                    hub, owner = _unique_pairs(hub[met], owner[met])
+                    home = (mix(hub.view(U64)) % U64(buckets)).astype(np.int64)
+                    order = np.argsort(home, kind="stable")
+                    hub, owner, home = hub[order], owner[order], home[order]
+                    cut = np.searchsorted(home, np.arange(buckets + 1))
+                    full = np.flatnonzero(np.diff(cut))
+                    none = np.empty(0, np.int64)
+                    yield _rows(none, none, none, full.tolist(), [pack(hub[cut[i] : cut[i + 1]], owner[cut[i] : cut[i + 1]]) for i in full])
+
+    return run
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return a[once], b[once]
+
+
+def _rows(doc: np.ndarray, n: np.ndarray, smallest: np.ndarray, home: list[int], pairs: list[bytes]) -> pa.RecordBatch:
+    a, b = len(doc), len(home)
+    cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(b, pa.int64())]) for x in (doc, n, smallest)]
+    cols.append(pa.concat_arrays([pa.nulls(a, pa.int32()), pa.array(home, pa.int32())]))
+    cols.append(pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(pairs, pa.binary())]))
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "class_id", "home", "pairs"])
+
+
+def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a home, each once."""
+    held: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
-        for b, s, g in zip(*(column(batch, c).to_pylist() for c in ("bucket", "sets", "signatures")), strict=True):
-            own = held.setdefault(b, ([], []))
-            if s:
-                own[0].append(s)
-            if g:
-                own[1].append(g)
-    none = np.empty(0, np.int64)
-    for b in list(held):
-        sets, sigs = held.pop(b)
-        if sets:
-            doc, n, one, two = (np.concatenate(x) for x in zip(*(unpack(s, np.int64, np.int64, U64, U64) for s in sets), strict=True))
-            order = np.lexsort((doc, two, one))
-            doc, n, one, two = doc[order], n[order], one[order], two[order]
-            new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-            smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            smallest = np.where(n > 0, smallest, doc)
-            yield _rows(doc, n, smallest, none, none)
-        if sigs:
-            parts = [unpack(g, np.int64, np.int32, U64) for g in sigs]
-            sigs.clear()
-            owner = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-            sig = np.concatenate([p[2] for p in parts])
-            parts.clear()
-            order = np.lexsort((owner, sig))
-            owner, sig = owner[order], sig[order]
-            new = np.r_[True, sig[1:] != sig[:-1]]
-            hub = owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-            met = np.flatnonzero(hub != owner)
-            if len(met):
-                hub, owner = hub[met], owner[met]
-                order = np.lexsort((owner, hub))
-                hub, owner = hub[order], owner[order]
-                once = np.r_[True, (hub[1:] != hub[:-1]) | (owner[1:] != owner[:-1])]
-                yield _rows(none, none, none, hub[once], owner[once])
-
-
-def _rows(doc, n, smallest, hub, member) -> pa.RecordBatch:
-    a, b = len(doc), len(hub)
-    empty = lambda k: pa.nulls(k, pa.int64())
-    cat = lambda *x: pa.concat_arrays(x)
-    return pa.RecordBatch.from_arrays(
-        [
-            cat(pa.array(doc, pa.int64()), empty(b)), cat(pa.array(n, pa.int64()), empty(b)), cat(pa.array(smallest, pa.int64()), empty(b)),
-            cat(empty(a), pa.array(hub, pa.int64())), cat(empty(a), pa.array(member, pa.int64())),
-        ],
-        ["doc_id", "n_shingles", "class_id", "hub", "member"],
-    )
+        for home, blob in zip(column(batch, "home").to_pylist(), column(batch, "pairs").to_pylist(), strict=True):
+            held.setdefault(home, []).append(unpack(blob, np.int64, np.int64))
+    for parts in held.values():
+        hub, member = _unique_pairs(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(member)], ["hub", "member"])
 
 
 def _send_sets(shingle: int):
@@ -341,13 +362,15 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
     met = (
         docs.mapInArrow(_signature_blobs(percent, shingle, buckets), "bucket int, sets binary, signatures binary")
         .repartition(buckets, "bucket")
-        .mapInArrow(_meet, "doc_id long, n_shingles long, class_id long, hub long, member long")
+        .mapInArrow(_meet(buckets), "doc_id long, n_shingles long, class_id long, home int, pairs binary")
     )
     met = stage_table(met, "met")
     nodes = met.where("doc_id is not null").select("doc_id", "n_shingles", "class_id")
     # a doc_id on several rows is one node: all its classes are linked by it
     own_class = nodes.groupBy("doc_id").agg(F.min("class_id").alias("rep"))
-    shared = met.where("hub is not null").select("hub", "member").distinct()
+    shared = (
+        met.where("home is not null").select("home", "pairs").repartition(buckets, "home").mapInArrow(_distinct_pairs, "hub long, member long")
+    )
     members = _place_members(shared, own_class, nodes)
     members = stage_table(members, "members")
     places = (
@@ -362,7 +385,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
         .mapInArrow(_compare(percent), "a long, b long")
     )
     same = nodes.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    whole = connected_components(links.union(same))
+    whole = connected_components(stage_table(links.union(same), "links"))
     lone = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return (
         nodes.join(whole, nodes["doc_id"] == whole["node"], "left")
