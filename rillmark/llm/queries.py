@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rillmark.deploy import ship_package
 from rillmark.llm.entropy_mix import mix_documents
+from rillmark.llm.jsd_quality import judge, references
 from rillmark.llm.kk_shards import shard_documents
+from rillmark.llm.langid import held_out, identify_languages, learn
 from rillmark.llm.partenum import jaccard_components
 from rillmark.llm.suffix_dedup import remove_repeats
 
@@ -19,6 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_jsd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return judge(docs, references(docs))
+
+
 def op2_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(_read(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +36,13 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out()))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), percent=85, shingle=4)
 
@@ -39,8 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jsd_quality": op1_jsd_quality,
     "op2_kk_shards": op2_kk_shards,
     "op6_entropy_mix": op6_entropy_mix,
+    "op7_word_first_langid": op7_word_first_langid,
     "op8_partenum_jaccard": op8_partenum_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
