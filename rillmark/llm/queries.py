@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.deploy import ship_package
 from rillmark.llm.entropy_mix import mix_documents
+from rillmark.llm import zstd_toxicity
 from rillmark.llm.jsd_quality import judge, references
 from rillmark.llm.kk_shards import shard_documents
 from rillmark.llm.langid import held_out, identify_languages, learn
@@ -31,6 +32,13 @@ def op2_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = zstd_toxicity.learn(docs.where(~held_out()), _read(spark, sf_dir, "labels"))
+    scored = zstd_toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -55,6 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jsd_quality": op1_jsd_quality,
     "op2_kk_shards": op2_kk_shards,
+    "op3_zstd_toxicity": op3_zstd_toxicity,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_word_first_langid": op7_word_first_langid,
     "op8_partenum_jaccard": op8_partenum_jaccard,
