@@ -14,6 +14,7 @@ from rillmark.llm.jsd_quality import judge, references
 from rillmark.llm.kk_shards import shard_documents
 from rillmark.llm.langid import held_out, identify_languages, learn
 from rillmark.llm.partenum import jaccard_components
+from rillmark.llm.qgram_leaks import leaked_passages
 from rillmark.llm.suffix_dedup import remove_repeats
 
 
@@ -55,6 +56,10 @@ def op8_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), percent=85, shingle=4)
 
 
+def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(_read(spark, sf_dir, "documents"), length=50)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_entropy_mix": op6_entropy_mix,
     "op7_word_first_langid": op7_word_first_langid,
     "op8_partenum_jaccard": op8_partenum_jaccard,
+    "op9_qgram_leaks": op9_qgram_leaks,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
