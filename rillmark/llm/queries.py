@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from rillmark.deploy import ship_package
 from rillmark.llm.entropy_mix import mix_documents
-from rillmark.llm import zstd_toxicity
+from rillmark.llm import sql, zstd_toxicity
 from rillmark.llm.jsd_quality import judge, references
 from rillmark.llm.kk_shards import shard_documents
 from rillmark.llm.langid import held_out, identify_languages, learn
 from rillmark.llm.partenum import jaccard_components
 from rillmark.llm.qgram_leaks import leaked_passages
 from rillmark.llm.suffix_dedup import remove_repeats
+from rillmark.llm.url_templates import judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -69,10 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jsd_quality": op1_jsd_quality,
     "op2_kk_shards": op2_kk_shards,
     "op3_zstd_toxicity": op3_zstd_toxicity,
+    "op5_url_templates": op5_url_templates,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_word_first_langid": op7_word_first_langid,
     "op8_partenum_jaccard": op8_partenum_jaccard,
     "op9_qgram_leaks": op9_qgram_leaks,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_templates": sql.url_templates(),
+}
