@@ -13,6 +13,7 @@ from rillmark.llm import sql, zstd_toxicity
 from rillmark.llm.jsd_quality import judge, references
 from rillmark.llm.kk_shards import shard_documents
 from rillmark.llm.langid import held_out, identify_languages, learn
+from rillmark.llm.line_chunks import remove_repeated_chunks
 from rillmark.llm.partenum import jaccard_components
 from rillmark.llm.qgram_leaks import leaked_passages
 from rillmark.llm.suffix_dedup import remove_repeats
@@ -41,6 +42,10 @@ def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_chunks(_read(spark, sf_dir, "documents"))
+
+
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jsd_quality": op1_jsd_quality,
     "op2_kk_shards": op2_kk_shards,
     "op3_zstd_toxicity": op3_zstd_toxicity,
+    "op4_line_chunks": op4_line_chunks,
     "op5_url_templates": op5_url_templates,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_word_first_langid": op7_word_first_langid,
