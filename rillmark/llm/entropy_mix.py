@@ -12,7 +12,7 @@ then rounded to whole copies, from the largest documents to the smallest.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.scratch import stage_table
@@ -94,6 +94,11 @@ def newton_multipliers(cells: DataFrame, family: str, targets: DataFrame, steps:
     return state.select(family, F.coalesce(F.exp("lam"), F.lit(0.0)).alias("rate"))
 
 
+def text_size(text: str = "text") -> Column:
+    """Words of a text; none if it is null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0) -> DataFrame:
     """Copies of every row such that each source's words come near its target.
 
@@ -109,8 +114,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     a document where it has small ones. In a class the copies are spread evenly in the order
     of a hash. The order is cut into runs, so no source or class is sorted in one task.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = stage_table(docs.select("doc_id", "source", size.alias("size")), "word-counts")
+    base = stage_table(docs.select("doc_id", "source", text_size().alias("size")), "word-counts")
     cells = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     cells = stage_table(cells, "sources")
     targets = stage_table(source_targets(cells.drop("rows"), weights, share), "targets")

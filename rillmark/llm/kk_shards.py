@@ -61,27 +61,27 @@ def _group_key(text: Column) -> Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(F.md5(text.cast("binary")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, cells: int = CELLS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, cells: int = CELLS, carry: Sequence[str] = ()) -> DataFrame:
     """Give every row a shard of near-equal bytes and a gapless slot in it.
 
-    Returns ``doc_id, size, text_crc32, group_key, shard, slot``. Size is the UTF-8 bytes of
-    the text plus 16. Null texts form one group of size 16 a row, apart from empty texts.
-    Repeated rows each get a slot of their own; rows with a null ``doc_id`` are sharded like
-    any other. An empty table gives an empty result. Columns besides ``doc_id`` and ``text``
-    are not read, so their names can't clash. A group is never split, so a group of more
-    than ``1 / shards`` of all bytes makes its shard larger than the others by that excess.
+    Returns ``doc_id, size, text_crc32, group_key, shard, slot`` and the columns of ``docs`` named
+    in ``carry`` (which may name the text). Size is the UTF-8 bytes of the text plus 16. Null
+    texts form one group of size 16 a row, apart from empty texts. Repeated rows each get a
+    slot of their own; rows with a null ``doc_id`` are sharded like any other. An empty table
+    gives an empty result. Columns that aren't named are not read, so they can't clash. A
+    group is never split, so a group of more than ``1 / shards`` of all bytes makes its shard
+    larger than the others by that excess.
     """
     spark = docs.sparkSession
     text = F.col("text")
-    base = stage_table(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            _group_key(text).alias("group_key"),
-        ),
-        "sizes",
+    keyed = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        _group_key(text).alias("group_key"),
+        *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
+    base = stage_table(keyed.select("doc_id", "size", "text_crc32", "group_key"), "sizes")
     items = shards * cells
     total = F.lit(base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     groups = base.groupBy("group_key").agg(F.sum("size").alias("bytes"))
@@ -97,37 +97,40 @@ def shard_documents(docs: DataFrame, shards: int = 40, cells: int = CELLS) -> Da
     of_cell = spark.createDataFrame(
         [(r["cell"], s) for r, s in zip(pooled, placed[len(single):], strict=True)], "cell int, shared int"
     )
-    placed_rows = (
-        base.withColumn("cell", cell)
-        .join(F.broadcast(of_group), "group_key", "left")
-        .join(F.broadcast(of_cell), "cell", "left")
-        .withColumn("shard", F.coalesce("own", "shared"))
-        .drop("own", "shared", "cell")
-    )
-    return _with_slots(placed_rows)
+
+    def place(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("cell", cell)
+            .join(F.broadcast(of_group), "group_key", "left")
+            .join(F.broadcast(of_cell), "cell", "left")
+            .withColumn("shard", F.coalesce("own", "shared"))
+            .drop("own", "shared", "cell")
+        )
+
+    out = _with_slots(place(keyed) if carry else place(base), place(base))
+    return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
-def _with_slots(rows: DataFrame) -> DataFrame:
+def _with_slots(rows: DataFrame, plain: DataFrame) -> DataFrame:
     """Number the rows of each shard from 0 without sorting a whole shard in one task.
 
     A shard is cut into runs by a hash of the row; a run's first slot is the number of rows
     in the runs before it. Only the table of runs, one row for about ``ROWS_PER_SLOT_RUN``
-    rows, is summed over a shard.
+    rows, is summed over a shard. ``plain`` has the same rows without carried columns.
     """
-    n = rows.count()
-    runs = max(1, -(-n // ROWS_PER_SLOT_RUN))
+    runs = max(1, -(-plain.count() // ROWS_PER_SLOT_RUN))
     run = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(runs)).cast("int")
-    rows = rows.withColumn("run", run)
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("shard", "run")
+        plain.groupBy("shard", run.alias("run"))
         .count()
         .withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .drop("count")
     )
     within = Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.withColumn("at", F.row_number().over(within))
+        rows.withColumn("run", run)
+        .withColumn("at", F.row_number().over(within))
         .join(starts, ["shard", "run"])
         .withColumn("slot", (F.col("start") + F.col("at") - 1).cast("long"))
         .drop("at", "start", "run")
