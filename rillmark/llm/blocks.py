@@ -1,7 +1,7 @@
 """Vectorised text work on blocks of whole documents.
 
 ``mapInArrow`` hands over Arrow batches whose string column already is one byte buffer with
-offsets. A block is a slice of such a batch of a few MB (one document at least), so the
+offsets. A block is a slice of such a batch of about a MB (one document at least), so the
 memory of a task doesn't grow with its input. All hashes are 64 bits.
 """
 
@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 U64 = np.uint64
 
 #: The bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -36,7 +36,7 @@ class Block(NamedTuple):
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut batches into blocks of about ``most`` bytes of text; a null text counts as empty."""
+    """Cut batches into blocks of at most ``most`` bytes (or one text) of text; a null text counts as empty."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -90,6 +90,15 @@ def span_hash(q: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(h + (right - left).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def window_hash(q: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` bytes from each position on."""
+    h = q[n:] - q[:-n]
+    h *= powers(_UNBASE, len(q))[: len(h)]
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    return h
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and document of each maximal run of non-separators."""
     inside = ~SEPARATOR[data]

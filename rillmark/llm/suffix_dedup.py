@@ -29,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.blocks import U64, Block, blocks, column, mix, pack, powers, prefix_hash, span_hash, unpack, _UNBASE
+from rillmark.llm.blocks import U64, Block, blocks, column, mix, pack, powers, prefix_hash, span_hash, unpack, window_hash, _UNBASE
 
 GRAM = 20
-FLUSH_ANCHORS = 2_000_000
-FLUSH_BYTES = 24_000_000
+#: What a task gathers before it sends on, and bytes of strings that it works on at once.
+FLUSH_ANCHORS = 1_500_000
+FLUSH_BYTES = 16_000_000
+WORK_BYTES = 3_000_000
 BUCKET_BYTES = 12_000_000
 TEXT_BYTES = 24_000_000
 
@@ -47,9 +49,7 @@ def window_anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.n
     size = np.diff(off)
     if len(data) < length or not (size >= length).any():
         return none, none, np.empty(0, U64), none
-    q = prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    low = span_hash(q, at, at + GRAM)
+    low = window_hash(prefix_hash(data), GRAM)
     width, reach = length - GRAM + 1, 1
     while reach < width:
         step = min(reach, width - reach)
@@ -66,14 +66,14 @@ def window_anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.n
     return start[new], np.diff(np.r_[new, len(doc)]), anchor[new], doc[new]
 
 
-def _batch(buckets: list, k1: list, k2: list, blobs: list) -> pa.RecordBatch:
+def _batch(buckets: list, homes: list, blobs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(buckets, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(blobs, pa.binary())],
-        ["bucket", "k1", "k2", "blob"],
+        [pa.array(buckets, pa.int32()), pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "home", "blob"]
     )
 
 
-_SCHEMA = "bucket int, k1 long, k2 long, blob binary"
+#: A row with a home is a result for the texts of that home, else it is work for its bucket.
+_SCHEMA = "bucket int, home int, blob binary"
 _HOME = U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -82,13 +82,58 @@ def _home(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(anchor * _HOME) % U64(buckets)).astype(np.int64)
 
 
-def _for_each_text(k1: np.ndarray, k2: np.ndarray, text: np.ndarray, values: np.ndarray) -> tuple[list, list, list]:
-    """Values packed by text, which is sorted."""
+def _to_homes(k1: np.ndarray, k2: np.ndarray, text: np.ndarray, values: np.ndarray, homes: int) -> list[tuple[int, int, bytes]]:
+    """Values of texts packed by the home of their text, so that rows don't multiply by buckets."""
     if not len(text):
-        return [], [], []
-    cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    stop = np.r_[cut[1:], len(text)]
-    return k1[text[cut]].tolist(), k2[text[cut]].tolist(), [values[a:b].tobytes() for a, b in zip(cut, stop, strict=True)]
+        return []
+    home = (mix(k1[text].view(U64)) % U64(homes)).astype(np.int64)
+    order = np.lexsort((text, home))
+    text, values, home = text[order], values[order], home[order]
+    cut = np.searchsorted(home, np.arange(homes + 1))
+    rows = []
+    for i in np.flatnonzero(np.diff(cut)):
+        t, v = text[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
+        turn = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        runs = np.diff(np.r_[turn, len(t)])
+        rows.append((int(i), int(i), pack(k1[t[turn]], k2[t[turn]], runs, v.reshape(-1).view(np.int64))))
+    return rows
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text of a home, with all its values."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for home, blob in zip(column(batch, "home").to_pylist(), column(batch, "blob").to_pylist(), strict=True):
+            held.setdefault(home, []).append(blob)
+    for home in list(held):
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for blob in held.pop(home):
+            k1, k2, runs, values = unpack(blob, np.int64, np.int64, np.int64, np.int64)
+            width = len(values) // int(runs.sum())
+            stop = np.cumsum(runs) * width
+            for key, a, b in zip(zip(k1.tolist(), k2.tolist(), strict=True), stop - runs * width, stop, strict=True):
+                found.setdefault(key, []).append(values[a:b])
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                pa.array([np.concatenate(found[k]).tobytes() for k in keys], pa.binary()),
+            ],
+            ["k1", "k2", "found"],
+        )
+
+
+def _sort_rows(batches: Iterator[pa.RecordBatch], held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Hold the work of buckets and pass results on."""
+    for batch in batches:
+        done = []
+        for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "home", "blob")), strict=True):
+            if row[1] is None:
+                held.setdefault(row[0], []).append(row[2])
+            else:
+                done.append(row)
+        if done:
+            yield _batch(*zip(*done, strict=True))
 
 
 def _anchor_blobs(length: int, buckets: int):
@@ -115,24 +160,20 @@ def _anchor_blobs(length: int, buckets: int):
                 several = np.zeros(len(first), bool)
                 several[group[text != text[first][group]]] = True
                 known = np.flatnonzero(several[group])
-                known = known[np.argsort(text[known], kind="stable")]
-                a, b, blob = _for_each_text(k1, k2, text[known], anchor[known])
-                if a:
-                    home = (np.array(a, np.int64).view(U64) % U64(buckets)).astype(np.int64)
-                    yield _batch(home.tolist(), a, b, blob)
+                rows = _to_homes(k1, k2, text[known], anchor[known], buckets)
                 anchor, text = anchor[first], text[first]
                 home = _home(anchor, buckets)
                 order = np.lexsort((text, home))
                 anchor, text, home = anchor[order], text[order], home[order]
                 cut = np.searchsorted(home, np.arange(buckets + 1))
-                rows = []
                 for i in range(buckets):
                     t = text[cut[i] : cut[i + 1]]
                     if len(t):
                         turn = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                         runs = np.diff(np.r_[turn, len(t)]).astype(np.int32)
-                        rows.append((i, pack(k1[t[turn]], k2[t[turn]], runs, anchor[cut[i] : cut[i + 1]])))
-                yield _batch([r[0] for r in rows], [None] * len(rows), [None] * len(rows), [r[1] for r in rows])
+                        rows.append((i, None, pack(k1[t[turn]], k2[t[turn]], runs, anchor[cut[i] : cut[i + 1]])))
+                if rows:
+                    yield _batch(*zip(*rows, strict=True))
             k1s.clear(), k2s.clear(), anchors.clear(), texts.clear()
             held = n_texts = 0
 
@@ -155,36 +196,31 @@ def _anchor_blobs(length: int, buckets: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(buckets: int):
     """Step 1 in a bucket: the anchors that two texts share, for each of these texts."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        known = []
-        for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "k1", "k2", "blob")), strict=True):
-            if row[1] is None:
-                held.setdefault(row[0], []).append(row[3])
-            else:
-                known.append(row)
-        if known:
-            yield _batch(*zip(*known, strict=True))
-    for b in list(held):
-        parts = [unpack(x, np.int64, np.int64, np.int32, U64) for x in held.pop(b)]
-        key = np.stack([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])])
-        keys, which = np.unique(key, axis=1, return_inverse=True)
-        text = np.repeat(which.reshape(-1), np.concatenate([p[2] for p in parts]))
-        anchor = np.concatenate([p[3] for p in parts])
-        parts.clear()
-        order = np.argsort(anchor, kind="stable")
-        anchor, text = anchor[order], text[order]
-        new = np.r_[True, anchor[1:] != anchor[:-1]]
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        several = np.zeros(len(first), bool)
-        several[group[text != text[first][group]]] = True
-        hit = np.flatnonzero(several[group])
-        hit = hit[np.argsort(text[hit], kind="stable")]
-        a, c, blob = _for_each_text(keys[0], keys[1], text[hit], anchor[hit])
-        if a:
-            yield _batch([b] * len(a), a, c, blob)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        yield from _sort_rows(batches, held)
+        for b in list(held):
+            parts = [unpack(x, np.int64, np.int64, np.int32, U64) for x in held.pop(b)]
+            key = np.stack([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])])
+            keys, which = np.unique(key, axis=1, return_inverse=True)
+            text = np.repeat(which.reshape(-1), np.concatenate([p[2] for p in parts]))
+            anchor = np.concatenate([p[3] for p in parts])
+            parts.clear()
+            order = np.argsort(anchor, kind="stable")
+            anchor, text = anchor[order], text[order]
+            new = np.r_[True, anchor[1:] != anchor[:-1]]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            several = np.zeros(len(first), bool)
+            several[group[text != text[first][group]]] = True
+            hit = np.flatnonzero(several[group])
+            rows = _to_homes(np.ascontiguousarray(keys[0]), np.ascontiguousarray(keys[1]), text[hit], anchor[hit], buckets)
+            if rows:
+                yield _batch(*zip(*rows, strict=True))
+
+    return run
 
 
 class Strings:
@@ -201,6 +237,33 @@ class Strings:
         return self.data[np.repeat(self.at - np.r_[0, np.cumsum(self.size)[:-1]], self.size) + np.arange(int(self.size.sum()))]
 
 
+def _joined(parts: list[Strings]) -> Strings:
+    """One table of strings from several, each of which holds its bytes in order."""
+    size = np.concatenate([p.size for p in parts])
+    return Strings(
+        np.concatenate([p.text for p in parts]), np.concatenate([p.start for p in parts]), size,
+        np.concatenate([p.anchor for p in parts]), np.concatenate([p.data for p in parts]), np.r_[0, np.cumsum(size)[:-1]],
+    )
+
+
+def by_anchor(s: Strings) -> Iterator[Strings]:
+    """The strings in parts of about ``WORK_BYTES`` that hold all strings of their anchors."""
+    order = np.argsort(s.anchor, kind="stable")
+    anchor = s.anchor[order]
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(order) else np.empty(0, np.int64)
+    before = np.r_[0, np.cumsum(s.size[order])]
+    at = 0
+    while at < len(order):
+        i = int(np.searchsorted(before[first], before[at] + WORK_BYTES))
+        i += i < len(first) and first[i] <= at
+        to = int(first[i]) if i < len(first) else len(order)
+        part = s.take(order[at:to])
+        part.data = part.gather()
+        part.at = np.r_[0, np.cumsum(part.size)[:-1]]
+        yield part
+        at = to
+
+
 def _equal_strings(s: Strings, rank: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of each string with the same anchor and bytes, and each class's smallest rank.
 
@@ -229,56 +292,67 @@ def _equal_strings(s: Strings, rank: np.ndarray, q: np.ndarray) -> tuple[np.ndar
     return cls, least
 
 
-def common_extension(q: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """How many bytes from a and b on agree, up to ``length``: a binary search on prefix hashes."""
+def common_extension(q: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, known: int = 0) -> np.ndarray:
+    """How many bytes from a and b on agree, up to ``length``: a binary search on prefix hashes.
+
+    ``known`` bytes are equal already. The first probe is the whole length, as most suffixes
+    that meet are equal or part soon.
+    """
     un = powers(_UNBASE, len(q))
+    out = np.full(len(a), length, np.int64)
+    left = np.flatnonzero((q[a + length] - q[a]) * un[a] != (q[b + length] - q[b]) * un[b])
+    a, b = a[left], b[left]
     ua, ub, qa, qb = un[a], un[b], q[a], q[b]
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
+    low, high = np.full(len(a), known, np.int64), np.full(len(a), length - 1, np.int64)
+    for _ in range(int(length - known).bit_length()):
         mid = (low + high + 1) >> 1
         same = (q[a + mid] - qa) * ua == (q[b + mid] - qb) * ub
-        low = np.where(open_ & same, mid, low)
-        high = np.where(open_ & ~same, mid - 1, high)
+        low = np.where(same, mid, low)
+        high = np.where(same, high, np.maximum(mid - 1, low))
+    out[left] = low
+    return out
 
 
 def suffix_sort(data: np.ndarray, q: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Order of suffixes by group (which rises) and their first ``length`` bytes: a mergesort.
+    """Order of suffixes by group (which rises) and their first ``length`` (8 or more) bytes: a mergesort.
 
     Runs double at each level. Every suffix finds its rank in the run that its own is merged
-    with by binary search, all suffixes of a level at once; comparisons use
-    ``common_extension``.
+    with by binary search, all suffixes of a level at once. A comparison looks at the first 8
+    bytes as a number, then at the ``common_extension``.
     """
     n = len(at)
     order = np.arange(n)
-    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.empty(0, np.int64)
+    if not n:
+        return order
+    key = np.zeros(n, U64)
+    for j in range(8):
+        key = (key << U64(8)) | data[at + j]
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size_of = np.diff(np.r_[begins, n])
     base, size = np.repeat(begins, size_of), np.repeat(size_of, size_of)
     within = np.arange(n) - base
     run = 1
-    while n and run < size_of.max():
+    while run < size_of.max():
         number = within // run
-        left = (number & 1) == 0
-        mate = (number ^ 1) * run
-        act = np.flatnonzero(mate < size)
-        low = base[act] + mate[act]
-        high = np.minimum(low + run, base[act] + size[act])
-        begin, mine, is_left = low.copy(), at[order[act]], left[act]
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
+        act = np.flatnonzero((number ^ 1) * run < size)
+        is_left = (number[act] & 1) == 0
+        begin = base[act] + (number[act] ^ 1) * run
+        low, high = begin.copy(), np.minimum(begin + run, base[act] + size[act])
+        place, keys = at[order], key[order]
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
             mid = (low[open_] + high[open_]) >> 1
-            other = at[order[mid]]
-            ext = common_extension(q, mine[open_], other, length)
-            end = ext == length
+            me = act[open_]
+            below = keys[mid] < keys[me]
+            tie = np.flatnonzero(keys[mid] == keys[me])
+            mine, other = place[me[tie]], place[mid[tie]]
+            ext = common_extension(q, mine, other, length, 8)
             step = np.minimum(ext, length - 1)
-            x, y = data[mine[open_] + step], data[other + step]
-            below = np.where(end, ~is_left[open_], y < x)  # the left run's suffixes come first among equals
+            # among equals the left run's suffixes come first
+            below[tie] = np.where(ext == length, ~is_left[open_[tie]], data[other + step] < data[mine + step])
             low[open_] = np.where(below, mid + 1, low[open_])
             high[open_] = np.where(below, high[open_], mid)
+            open_ = open_[low[open_] < high[open_]]
         to = np.arange(n)
         to[act] = base[act] + (number[act] & ~1) * run + (within[act] - number[act] * run) + (low - begin)
         moved = np.empty_like(order)
@@ -375,32 +449,31 @@ def _send_strings(length: int, buckets: int):
             nonlocal held, texts
             if parts:
                 k1, k2, rank = np.array(k1s, np.int64), np.array(k2s, np.int64), np.array(ranks, np.int64)
-                sizes = np.concatenate([p.size for p in parts])
-                data = np.concatenate([p.data for p in parts])
-                s = Strings(
-                    np.concatenate([p.text for p in parts]), np.concatenate([p.start for p in parts]), sizes,
-                    np.concatenate([p.anchor for p in parts]), data, np.r_[0, np.cumsum(sizes)[:-1]],
-                )
-                cls, least = _equal_strings(s, rank, prefix_hash(data))
-                later = rank[s.text] > least[cls]
-                text, begin, end = _merged(s.text[later], s.start[later], (s.start + s.size)[later])
-                a, b, blob = _for_each_text(k1, k2, text, np.stack([begin, end], axis=1))
-                if a:
-                    home = (np.array(a, np.int64).view(U64) % U64(buckets)).astype(np.int64)
-                    yield _batch(home.tolist(), a, b, blob)
-                s = s.take(np.flatnonzero(~later))
+                s = _joined(parts)
+                parts.clear()
+                gone, own = [], []
+                for x in by_anchor(s):
+                    cls, least = _equal_strings(x, rank, prefix_hash(x.data))
+                    later = rank[x.text] > least[cls]
+                    gone.append((x.text[later], x.start[later], (x.start + x.size)[later]))
+                    own.append(x.take(np.flatnonzero(~later)))
+                    own[-1].data = own[-1].gather()
+                text, begin, end = _merged(*(np.concatenate(z) for z in zip(*gone, strict=True)))
+                rows = _to_homes(k1, k2, text, np.stack([begin, end], axis=1), buckets)
+                s = _joined(own)
+                own.clear()
                 home = _home(s.anchor, buckets)
                 order = np.argsort(home, kind="stable")
                 s, home = s.take(order), home[order]
                 cut = np.searchsorted(home, np.arange(buckets + 1))
-                rows = []
                 for i in range(buckets):
                     if cut[i] < cut[i + 1]:
                         x = s.take(np.arange(cut[i], cut[i + 1]))
                         t, local = np.unique(x.text, return_inverse=True)
                         raw = pack(k1[t], k2[t], rank[t], local.astype(np.int32), x.start.astype(np.int64), x.size.astype(np.int32), x.anchor, x.gather())
-                        rows.append((i, squeeze.compress(raw)))
-                yield _batch([r[0] for r in rows], [None] * len(rows), [None] * len(rows), [r[1] for r in rows])
+                        rows.append((i, None, squeeze.compress(raw)))
+                if rows:
+                    yield _batch(*zip(*rows, strict=True))
             k1s.clear(), k2s.clear(), ranks.clear(), parts.clear()
             held = texts = 0
 
@@ -408,7 +481,7 @@ def _send_strings(length: int, buckets: int):
             start, count, anchor, doc = window_anchors(block.data, block.off, length)
             shared = column(block.rows, "anchors").to_pylist()
             docs = len(shared)
-            known = [np.concatenate([np.frombuffer(x, U64) for x in own]) for own in shared]
+            known = [np.frombuffer(own, U64) for own in shared]
             pair = np.concatenate(known) if known else np.empty(0, U64)
             whose = np.repeat(np.arange(docs), [len(x) for x in known])
             # a text's anchors against those shared: compare within the text
@@ -432,20 +505,12 @@ def _send_strings(length: int, buckets: int):
     return run
 
 
-def _resolve(length: int):
+def _resolve(length: int, buckets: int):
     """Step 3 in a bucket: spans to remove, for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            known = []
-            for row in zip(*(column(batch, c).to_pylist() for c in ("bucket", "k1", "k2", "blob")), strict=True):
-                if row[1] is None:
-                    held.setdefault(row[0], []).append(row[3])
-                else:
-                    known.append(row)
-            if known:
-                yield _batch(*zip(*known, strict=True))
+        yield from _sort_rows(batches, held)
         grow = zstandard.ZstdDecompressor()
         for b in list(held):
             parts = [unpack(grow.decompress(x), np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, U64, np.uint8) for x in held.pop(b)]
@@ -456,19 +521,20 @@ def _resolve(length: int):
             parts.clear()
             size = size.astype(np.int64)
             s = Strings(text, start, size, anchor, data, np.r_[0, np.cumsum(size)[:-1]])
-            text, begin, end = repeated_windows(s, rank, length)
-            a, c, blob = _for_each_text(k1, k2, text, np.stack([begin, end], axis=1))
-            if a:
-                yield _batch([b] * len(a), a, c, blob)
+            found = [repeated_windows(x, rank, length) for x in by_anchor(s)]
+            text, begin, end = _merged(*(np.concatenate(z) for z in zip(*found, strict=True)))
+            rows = _to_homes(k1, k2, text, np.stack([begin, end], axis=1), buckets)
+            if rows:
+                yield _batch(*zip(*rows, strict=True))
 
     return run
 
 
-def cut_spans(text: bytes, spans: list[bytes]) -> tuple[list[tuple[int, int]], bytes]:
+def cut_spans(text: bytes, spans: bytes | None) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal runs of the packed spans and the text without them."""
     if not spans:
         return [], text
-    pair = np.concatenate([np.frombuffer(x, np.int64) for x in spans]).reshape(-1, 2)
+    pair = np.frombuffer(spans, np.int64).reshape(-1, 2)
     _, begin, end = _merged(np.zeros(len(pair), np.int64), pair[:, 0], pair[:, 1])
     kept, at = [], 0
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
@@ -488,7 +554,7 @@ def _cut(length: int, texts: bool):
                 if doc is not None and first is not None and doc > first and len(text) >= length:
                     gone, kept = [(0, len(text))], b""
                 else:
-                    gone, kept = cut_spans(text, spans or [])
+                    gone, kept = cut_spans(text, spans)
                 out.append((doc, len(text), len(text) - len(kept), gone, kept))
             cols = list(zip(*out, strict=True))
             arrays = [
@@ -527,24 +593,27 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     found = (
         named.select("k1", "k2", "text").mapInArrow(_anchor_blobs(length, buckets), _SCHEMA)
         .repartition(buckets, "bucket")
-        .mapInArrow(_shared_anchors, _SCHEMA)
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("blob").alias("anchors"))
+        .mapInArrow(_shared_anchors(buckets), _SCHEMA)
+        .repartition(buckets, "home")
+        .mapInArrow(_gather, "k1 long, k2 long, found binary")
+        .withColumnRenamed("found", "anchors")
     )
     first = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"))
-    # both joins read the texts from this one exchange
+    # both joins read the texts from this one exchange; an equality of ids below would become
+    # a join key and make it two
     moved = keyed.repartition(parts, "k1", "k2")
     key = ["k1", "k2"]
     suspects = found.join(first, key).hint("shuffle_hash")
     spans = (
         moved.join(suspects, key)
-        .where("doc_id = first_doc")
+        .where("coalesce(doc_id - first_doc, 1) = 0")
         .select("doc_id", "k1", "k2", "text", "anchors")
         .mapInArrow(_send_strings(length, buckets), _SCHEMA)
         .repartition(buckets, "bucket")
-        .mapInArrow(_resolve(length), _SCHEMA)
-        .groupBy(*key)
-        .agg(F.collect_list("blob").alias("spans"))
+        .mapInArrow(_resolve(length, buckets), _SCHEMA)
+        .repartition(buckets, "home")
+        .mapInArrow(_gather, "k1 long, k2 long, found binary")
+        .withColumnRenamed("found", "spans")
     )
     verdicts = first.join(spans, key, "left").hint("shuffle_hash")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept_sha256 string"
