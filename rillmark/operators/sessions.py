@@ -28,6 +28,16 @@ def session_events(events: DataFrame, geo: DataFrame | None = None) -> DataFrame
     return rows.select(*KEY, F.col("timestamp").alias("t"), F.col("ingest_seq").alias("seq"), "device_type", F.coalesce(own, "geo_country", F.lit(NO_COUNTRY)).alias("country"), "region")
 
 
+def session_batch_schema() -> str:
+    """What ``advance`` expects of a batch."""
+    return "stream_id string, client_ip string, t timestamp, seq long, device_type string, country string, region string"
+
+
+def in_arrival_order(events: DataFrame) -> DataFrame:
+    """Sets ``ingest_seq`` from file and line, numbered for each pair, so no global order is needed."""
+    return events.withColumn("ingest_seq", F.row_number().over(Window.partitionBy(*KEY).orderBy("file", "line")).cast("long"))
+
+
 def empty_state(spark) -> DataFrame:
     return spark.createDataFrame([], schema.SESSION)
 

@@ -39,7 +39,7 @@ def samples(metrics: DataFrame, labels: Sequence[str], now_ms: int | Column | No
     own = label_map(labels, legacy)
     pairs = F.filter(
         F.array(*[F.struct(F.lit(k).alias("name"), own[k].cast("string").alias("value")) for k in sorted(own)]), lambda p: p["value"].isNotNull()
-    )
+    ) if own else F.array().cast("array<struct<name:string,value:string>>")
     name = F.concat(F.lit(prefix), F.col("metric_name"))
     out = metrics.select(series_text(name, own).alias("series"), name.alias("metric_name"), pairs.alias("labels"), F.col("value").cast("double").alias("value"), stamp.cast("long").alias("timestamp_ms"))
     return out if now_ms is None else recent(out, now_ms)

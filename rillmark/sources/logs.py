@@ -27,19 +27,22 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.option("recursiveFileLookup", "true").text(paths)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(
-        F.length(F.trim("value")) > 0
+        F.rlike("value", F.lit(r"\S"))
     )
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None) -> DataFrame:
-    """A stream of new files; ``clean`` may be ``delete`` or ``archive`` once a file was processed."""
+    """A stream of the lines of new files, without line ids, which only a batch can give.
+
+    ``clean`` may be ``delete`` or ``archive`` once a file was processed.
+    """
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if clean:
         reader = reader.option("cleanSource", clean)
         reader = reader.option("sourceArchiveDir", archive) if archive else reader
-    return reader.load(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return reader.load(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -54,11 +57,11 @@ def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(schema.RAW).option("mode", "PERMISSIVE").json(paths)
 
 
-def events(records: DataFrame, seq: Column | None = None) -> DataFrame:
+def events(records: DataFrame, seq: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Events of log records: defaults, filters, stream, track and device.
 
     Dropped are records without a stamp that parses, without a path, or whose path doesn't begin
-    with a hexadecimal stream id. ``seq`` is the order of arrival.
+    with a hexadecimal stream id. ``seq`` is the order of arrival; columns in ``keep`` stay.
     """
     t, path = times.parsed_stamp(F.col("timestamp")), F.col("clientRequestPath")
     agent = F.coalesce("clientRequestUserAgent", F.lit(""))
@@ -81,6 +84,7 @@ def events(records: DataFrame, seq: Column | None = None) -> DataFrame:
         device.unmatched_agent(agent).alias("ua_unmatched"),
         text.track(path).alias("track"),
         (F.lit(0) if seq is None else seq).cast("long").alias("ingest_seq"),
+        *keep,
     ).where("timestamp is not null")
     return shaped.withColumn("minute", times.minute(F.col("timestamp"))).withColumn("minute_key", times.minute_key(F.col("timestamp")))
 
