@@ -7,6 +7,7 @@ memory of a task doesn't grow with its input. All hashes are 64 bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +36,15 @@ class Block(NamedTuple):
     valid: np.ndarray  # false where the text is null
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut batches into blocks of at most ``most`` bytes (or one text) of text; a null text counts as empty."""
     for batch in batches:
@@ -53,6 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             own = off[at : to + 1]
             yield Block(batch.slice(at, to - at), raw[own[0] : own[-1]], own - own[0], valid[at:to])
             at = to
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -24,11 +24,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Bounds of the model: documents a language is learnt from, words and n-grams of an order kept for it.
 DOCS_PER_LANG = 3_000
-WORDS_PER_LANG = 20_000
-GRAMS_PER_LANG = 10_000
+WORDS_PER_LANG = 12_000
+GRAMS_PER_LANG = 6_000
 LANGUAGES = 200
 #: Floats of remembered scores in a task, and words that the confidence saturates at.
-MEMO = 2_000_000
+MEMO = 800_000
 SURE_WORDS = 20
 UNKNOWN = "und"
 
@@ -104,22 +104,21 @@ def learn(docs: DataFrame) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
     keep = F.when(F.col("n") == 0, WORDS_PER_LANG).otherwise(GRAMS_PER_LANG)
     units = stage_table(both.withColumn("rank", rank).where(F.col("rank") <= keep).select("n", "unit").distinct(), "units")
-    kept = both.join(units, ["n", "unit"]).orderBy("n", "unit", "lang").collect()
+    kept = both.join(units, ["n", "unit"]).orderBy("n", "unit", "lang").select("lang", "n", "unit", "count").toArrow()
     totals = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in both.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).collect()}
     langs = sorted({lang for lang, _ in totals}, key=lambda x: x.encode())
     return _assemble(langs, kept, totals)
 
 
-def _assemble(langs: list[str], kept: list, totals: dict) -> Model:
+def _assemble(langs: list[str], kept: pa.Table, totals: dict) -> Model:
     names: dict[int, list[str]] = {n: [] for n in (0, *ORDERS)}
     logs: dict[int, list[np.ndarray]] = {n: [] for n in (0, *ORDERS)}
     at = {lang: i for i, lang in enumerate(langs)}
-    for r in kept:
-        n = r["n"]
-        if not names[n] or names[n][-1] != r["unit"]:
-            names[n].append(r["unit"])
+    for lang, n, unit, count in zip(*(c.to_pylist() for c in kept.columns), strict=True):
+        if not names[n] or names[n][-1] != unit:
+            names[n].append(unit)
             logs[n].append(np.full(len(langs), 0.5))
-        logs[n][-1][at[r["lang"]]] += r["count"]
+        logs[n][-1][at[lang]] += count
     out = {}
     for n in (0, *ORDERS):
         floor = np.array([sum(totals.get((lang, n), (0, 0))) + 1.0 for lang in langs])

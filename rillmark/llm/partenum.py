@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.blocks import LOWER, U64, blocks, column, grams, mix, pack, per_document, prefix_hash, span_hash, unpack, words
+from rillmark.llm.blocks import LOWER, U64, blocks, column, grams, mix, pack, per_document, prefix_hash, release, span_hash, unpack, words
 from rillmark.llm.components import connected_components
 from rillmark.llm.scratch import stage_table
 
 #: Partitions above the least number that the bound needs; more of them leave richer signatures to rely on.
 SLACK = 1.25
-#: Bytes of signatures that one bucket should hold, and features that one block of an exact check may.
-BUCKET_BYTES = 16_000_000
+#: Bytes of text whose signatures one bucket should hold, and features that one block of an exact check may.
+BUCKET_BYTES = 8_000_000
 BLOCK_FEATURES = 1_000_000
 
 
@@ -201,6 +201,7 @@ def _meet(buckets: int):
                     own[1].append(g)
         for b in list(held):
             sets, sigs = held.pop(b)
+            release()
             if sets:
                 doc, n, one, two = (np.concatenate(x) for x in zip(*(unpack(s, np.int64, np.int64, U64, U64) for s in sets), strict=True))
                 order = np.lexsort((doc, two, one))
@@ -361,7 +362,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     met = (
         docs.mapInArrow(_signature_blobs(percent, shingle, buckets), "bucket int, sets binary, signatures binary")
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_meet(buckets), "doc_id long, n_shingles long, class_id long, home int, pairs binary")
     )
     met = stage_table(met, "met")
@@ -369,7 +370,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
     # a doc_id on several rows is one node: all its classes are linked by it
     own_class = nodes.groupBy("doc_id").agg(F.min("class_id").alias("rep"))
     shared = (
-        met.where("home is not null").select("home", "pairs").repartition(buckets, "home").mapInArrow(_distinct_pairs, "hub long, member long")
+        met.where("home is not null").select("home", "pairs").repartitionById(buckets, F.col("home")).mapInArrow(_distinct_pairs, "hub long, member long")
     )
     members = _place_members(shared, own_class, nodes)
     members = stage_table(members, "members")
