@@ -152,6 +152,7 @@ def _anchor_blobs(length: int, buckets: int):
             if anchors:
                 k1, k2 = np.concatenate(k1s), np.concatenate(k2s)
                 anchor, text = np.concatenate(anchors), np.concatenate(texts)
+            if anchors and len(anchor):
                 order = np.argsort(anchor, kind="stable")
                 anchor, text = anchor[order], text[order]
                 new = np.r_[True, anchor[1:] != anchor[:-1]]
@@ -592,9 +593,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     named = keyed.where("doc_id is not null")
     found = (
         named.select("k1", "k2", "text").mapInArrow(_anchor_blobs(length, buckets), _SCHEMA)
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_shared_anchors(buckets), _SCHEMA)
-        .repartition(buckets, "home")
+        .repartitionById(buckets, F.col("home"))
         .mapInArrow(_gather, "k1 long, k2 long, found binary")
         .withColumnRenamed("found", "anchors")
     )
@@ -609,9 +610,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
         .where("coalesce(doc_id - first_doc, 1) = 0")
         .select("doc_id", "k1", "k2", "text", "anchors")
         .mapInArrow(_send_strings(length, buckets), _SCHEMA)
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_resolve(length, buckets), _SCHEMA)
-        .repartition(buckets, "home")
+        .repartitionById(buckets, F.col("home"))
         .mapInArrow(_gather, "k1 long, k2 long, found binary")
         .withColumnRenamed("found", "spans")
     )
