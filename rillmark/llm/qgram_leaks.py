@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 A benchmark text is cut into overlapping windows of ``WINDOW`` characters (a shorter text is one
-window), so a part of it is found as well as the whole. A window of m characters and a piece
+window), so a part of it of ``WINDOW + STRIDE`` characters is found as well as the whole. A window of m characters and a piece
 of a document within k edits of it share at least ``m + 1 - q * (k + 1)`` q-grams, whose places
 differ by diagonals within a band of k + 1. So q-gram matches are counted in overlapping bands
 of two times k + 1 diagonals, bands that reach the bound are kept, and a banded alignment
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from rillmark.llm.blocks import LOWER, SEPARATOR, U64, blocks, column, prefix_hash, window_hash
 
 Q = 10
-WINDOW = 100
-STRIDE = 50
+WINDOW = 80
+STRIDE = 20
 #: Edits for each hundred characters of a window.
 EDIT_PERCENT = 5
 #: Benchmark characters that one index may hold; a larger benchmark is searched index by index.
