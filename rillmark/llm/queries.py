@@ -27,7 +27,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_jsd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return judge(docs, references(docs))
+    judged = judge(docs, references(docs))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_jsd_quality": sql.jsd_quality(),
     "op5_url_templates": sql.url_templates(),
+    "op8_partenum_jaccard": sql.jaccard_components(),
+    "op10_suffix_dedup": sql.suffix_dedup(),
 }

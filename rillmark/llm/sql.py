@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rillmark.llm import jsd_quality as q
 from rillmark.llm import url_templates as u
 
 
@@ -52,3 +53,92 @@ rejected AS (SELECT host, shape FROM {last} JOIN bad USING (host, template))
 SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN r.shape IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, shape
 FROM shaped LEFT JOIN rejected r USING (host, shape)
 """
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def jaccard_components(percent: int = 85, n: int = 4) -> str:
+    """All pairs that share a shingle, their links, and the smallest id that each document reaches."""
+    words = _WORDS.format(f"translate(text, '{u.UPPER}', '{u.LOWER}')")
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {n} THEN list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id) AS component_id FROM s
+"""
+
+
+def suffix_dedup(length: int = 50) -> str:
+    """Every window of the bytes (as hex digits), the smallest document it starts in, and what is left."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), {2 * length}) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) // 2 - {length - 1} AS BIGINT))) AS p FROM d WHERE len(h) >= {2 * length})),
+m AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT doc_id, p FROM w JOIN m USING (x) WHERE first < doc_id),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {length} THEN 0 ELSE 1 END AS new FROM gone)),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + {length} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+  UNION ALL SELECT doc_id, NULL, max(b) FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (coalesce(a, len(h) // 2) - since) AS BIGINT)), '' ORDER BY since) AS k
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def jsd_quality() -> str:
+    """Base counts, the references of each language, both distances to each, and the verdict."""
+    classes = (r"[\x20\x09-\x0D]", "[a-z]", "[A-Z]", "[0-9]", "[#*$%&|<>]", r"[!\x22\x27(),\-./:;?@\[\\\]^_`{}~+=]", r"[^\x00-\x7F]")
+    count = lambda c: f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))"
+    counts = ", ".join(f"CAST({count(c)} AS BIGINT)" for c in classes)
+    term = "CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+    both = lambda p, q: "(" + term.format(p=p, q=q) + " + " + term.format(p=q, q=p) + ")"
+    return f"""
+WITH d AS (SELECT doc_id, lang, text, coalesce(text, '') AS t, {_WORDS.format('text')} AS ws FROM documents),
+cls AS (SELECT doc_id, list_prepend(length(t) - list_sum(c), c) AS c FROM (SELECT doc_id, t, [{counts}] AS c FROM d)),
+pc AS (SELECT doc_id, list_transform(c, lambda x: x / greatest(list_sum(c), 1)) AS p FROM cls),
+grams AS (SELECT doc_id, i, list_transform(range(0, 5), lambda j: ws[i + j]) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST({count('[#*$%&|<>]')} AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+lw AS (SELECT lang, unnest(ws) AS w FROM d WHERE lang IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT lang, count(*) AS n FROM lw GROUP BY lang),
+common AS (SELECT lang, w, k / n AS q FROM (SELECT lang, w, count(*) AS k FROM lw GROUP BY ALL) JOIN totals USING (lang) WHERE k >= {q.COMMON_SHARE} * n),
+mass AS (SELECT lang, coalesce(sum(q), 0) AS q FROM totals LEFT JOIN common USING (lang) GROUP BY lang),
+langs AS (SELECT lang, list_transform(range(1, 9), lambda i: s[i] / list_sum(s)) AS c, mass.q AS mass
+  FROM (SELECT lang, list_transform(range(1, 9), lambda i: list_sum(list_transform(list(cls.c), lambda x: x[i]))) AS s FROM d JOIN cls USING (doc_id)
+    WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang) JOIN mass USING (lang)),
+dw AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+hits AS (SELECT doc_id, lang, sum(k / n_words) AS p, sum({both('(k / n_words)', 'q')} - q) AS part FROM dw JOIN common USING (w) JOIN base USING (doc_id) GROUP BY ALL),
+far AS (
+  SELECT doc_id, lang, n_words,
+    sqrt(greatest(list_sum(list_transform(range(1, 9), lambda i: {both('p[i]', 'c[i]')})) / 2, 0)) AS c,
+    sqrt(greatest((coalesce(part, 0) + mass + {both('o', 'r')}) / 2, 0)) AS w
+  FROM (SELECT base.doc_id, langs.lang, n_words, pc.p, langs.c, mass, hits.part, greatest(1 - coalesce(hits.p, 0), 0) AS o0,
+      CASE WHEN 1 - coalesce(hits.p, 0) > 1e-12 THEN 1 - coalesce(hits.p, 0) ELSE 0 END AS o, greatest(1 - mass, 0) AS r
+    FROM base JOIN pc USING (doc_id) CROSS JOIN langs LEFT JOIN hits ON hits.doc_id = base.doc_id AND hits.lang = langs.lang WHERE n_words >= {q.GUARD_WORDS})),
+best AS (
+  SELECT doc_id, bool_or(c <= {q.CLASS_BOUND} AND w <= {q.WORD_BOUND} + {q.SHORT_ALLOWANCE} / sqrt(n_words)) AS fits,
+    arg_min(struct_pack(lang := lang, c := c, w := w), c + w) AS b FROM far GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words) AND coalesce(fits, true) AS kept,
+  b.lang AS nearest, round(b.c, 6) AS class_distance, round(b.w, 6) AS word_distance
+FROM base LEFT JOIN best USING (doc_id)
+"""
