@@ -36,10 +36,10 @@ def next_offsets(state: DataFrame, minutes: DataFrame, now: Column, startup_ms:
 
 def split_first_window(events: DataFrame, time: str = "timestamp") -> DataFrame:
     """Adds ``flush``: whether an event lies in the 29 seconds from the half minute of the earliest one."""
-    first = events.agg(window_start(F.min(time)).alias("window_start"))
-    inside = (F.col(time) >= F.col("window_start")) & (F.col(time) < F.col("window_start") + F.make_dt_interval(secs=F.lit(float(WINDOW_SECONDS))))
-    # the other side is one row
-    return events.join(F.broadcast(first)).withColumn("flush", inside).drop("window_start")
+    first = events.agg(F.unix_seconds(window_start(F.min(time)))).first()[0]
+    start = F.timestamp_seconds(F.lit(first))
+    end = F.timestamp_seconds(F.lit(None if first is None else first + WINDOW_SECONDS))
+    return events.withColumn("flush", (F.col(time) >= start) & (F.col(time) < end))
 
 
 def unmatched_agents(events: DataFrame, most: int = 5000) -> DataFrame:
@@ -51,6 +51,6 @@ def unmatched_summary(events: DataFrame, most: int = 5000) -> DataFrame:
     """``total, agents, overflow``: all unmatched requests, agents listed and requests of those beyond the list."""
     counts = events.where("ua_unmatched is not null").groupBy("ua_unmatched").agg(F.count("*").alias("n"))
     listed = counts.orderBy(F.desc("n"), "ua_unmatched").limit(most)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    own = listed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("listed"), F.count("*").alias("agents"))
-    return total.join(own).select("total", "agents", (F.col("total") - F.col("listed")).alias("overflow"))
+    every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select("total", F.lit(0).alias("agents"), F.col("total").alias("overflow"))
+    own = listed.agg(F.count("*").alias("agents"), F.coalesce(F.sum("n"), F.lit(0)).alias("listed")).select(F.lit(0), "agents", -F.col("listed"))
+    return every.union(own).agg(*[F.sum(c).alias(c) for c in ("total", "agents", "overflow")])

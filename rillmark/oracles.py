@@ -212,8 +212,8 @@ ORACLES: dict[str, str] = {
     "watch_metrics": _ROUNDED,
     "watch_merge": _ROUNDED,
     "batch_offsets": EV + _FLUSH_CTE + "SELECT flush, minute_ms, n, n * 100 + 7 AS offset_ms FROM (SELECT *, row_number() OVER (PARTITION BY minute_ms ORDER BY flush) - 1 AS n FROM fl)",
-    "batch_offsets_fold": EV + _FLUSH_CTE + """SELECT DISTINCT minute_ms, CAST(CASE WHEN minute_ms IN (SELECT minute_ms FROM fl WHERE flush = 1) THEN 100 ELSE 0 END + 5 AS BIGINT) AS offset_ms
-      FROM fl WHERE flush <= 2""",
+    "batch_offsets_fold": EV + _FLUSH_CTE + """SELECT DISTINCT minute_ms, CAST(CASE WHEN minute_ms IN (SELECT minute_ms FROM fl WHERE flush % 2 = 1) THEN 100 ELSE 0 END + 5 AS BIGINT) AS offset_ms
+      FROM fl""",
     "window_split": EV + """SELECT ingest_seq, epoch_us(t) // 1000 >= s AND epoch_us(t) < (s + 29000) * 1000 AS flush FROM ev, (SELECT epoch_us(min(t)) // 1000 // 30000 * 30000 AS s FROM ev)""",
     "unmatched_topk": EV + "SELECT ua_unmatched AS agent, count(*) AS requests FROM ev WHERE ua_unmatched IS NOT NULL GROUP BY ALL ORDER BY requests DESC, agent LIMIT 10",
     "unmatched_summary": EV + """, c AS (SELECT ua_unmatched AS agent, count(*) AS n FROM ev WHERE ua_unmatched IS NOT NULL GROUP BY ALL),

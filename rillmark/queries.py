@@ -201,13 +201,13 @@ def batch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_offsets_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State after two flushes, the second an hour and a half after the first, and a third at once."""
-    all_ = _flushes(spark, sf_dir)
+    """Offsets of a third flush of all minutes: even files came first, odd ones an hour and a half later."""
+    every = _flushes(spark, sf_dir)
     at = lambda m: F.timestamp_micros(F.lit(1_773_576_000_000_000 + m * 60_000_000))
     state = spark.createDataFrame([], "minute timestamp, n long, first_flush timestamp")
-    state, _ = flushes.next_offsets(state, all_.where("flush = 0"), at(0))
-    state, _ = flushes.next_offsets(state, all_.where("flush = 1"), at(90))
-    state, offsets = flushes.next_offsets(state, all_.where("flush <= 2"), at(91), 5)
+    state, _ = flushes.next_offsets(state, every.where("flush % 2 = 0"), at(0))
+    state, _ = flushes.next_offsets(state, every.where("flush % 2 = 1"), at(90))
+    _, offsets = flushes.next_offsets(state, every, at(91), 5)
     return offsets.select(_ms("minute").alias("minute_ms"), "offset_ms")
 
 
