@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fragments by device, in the order in which they are tried.
@@ -67,3 +67,18 @@ def unmatched_agent(agent: Column) -> Column:
     plain = decoded_agent(agent)
     key = F.when(F.coalesce(plain, F.lit("")) == "", F.lit(EMPTY_AGENT)).otherwise(F.substring(plain, 1, TRACKED_LENGTH))
     return F.when(_cascade(F.lower(plain)).isNull(), key)
+
+
+def with_device(rows: DataFrame, agent: Column) -> DataFrame:
+    """Adds ``device_type`` and ``ua_unmatched``.
+
+    The decoded agent and the cascade's answer are columns of steps of their own: they are used
+    many times, so the optimizer keeps the steps apart and each is computed once a row.
+    """
+    steps = rows.withColumn("_agent", decoded_agent(agent)).withColumn("_lower", F.lower("_agent")).withColumn("_device", _cascade(F.col("_lower")))
+    key = F.when(F.coalesce("_agent", F.lit("")) == "", F.lit(EMPTY_AGENT)).otherwise(F.substring("_agent", 1, TRACKED_LENGTH))
+    return (
+        steps.withColumn("device_type", F.coalesce("_device", F.lit("other")))
+        .withColumn("ua_unmatched", F.when(F.col("_device").isNull(), key))
+        .drop("_agent", "_lower", "_device")
+    )

@@ -42,7 +42,8 @@ def edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/"), F.md5(F.concat(F.lit("stream-"), F.expr("cast(user_id % 5 as string)"))), F.lit("/tracks-"), _pick(TRACKS, "event_id % 4"), F.lit("/seg.m3u8"))
     )
     mapped = raw.withColumn("k", k).withColumn("request_path", path).withColumn("agent", _pick(AGENTS, "(user_id + event_id % 2) % 14"))
-    shaped = mapped.where(text.stream_id(F.col("request_path")) != "").select(
+    kept = device.with_device(mapped.where(text.stream_id(F.col("request_path")) != ""), F.col("agent"))
+    shaped = kept.select(
         F.expr("timestamp_micros(1773576000000000 + ((unix_micros(cast(ts as timestamp)) - 1704067200000000) div 720))").alias("timestamp"),
         "request_path",
         text.stream_id(F.col("request_path")).alias("stream_id"),
@@ -56,8 +57,8 @@ def edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(COUNTRIES, "user_id % 11").alias("client_country"),
         _pick(PLACES, "k % 4").alias("location_id"),
         F.expr("concat('10.0.', user_id div 256, '.', user_id % 256)").alias("client_ip"),
-        device.device_type(F.col("agent")).alias("device_type"),
-        device.unmatched_agent(F.col("agent")).alias("ua_unmatched"),
+        "device_type",
+        "ua_unmatched",
         text.track(F.col("request_path")).alias("track"),
         F.col("event_id").alias("ingest_seq"),
     )

@@ -66,7 +66,7 @@ def events(records: DataFrame, seq: Column | None = None, keep: Sequence[str] =
     t, path = times.parsed_stamp(F.col("timestamp")), F.col("clientRequestPath")
     agent = F.coalesce("clientRequestUserAgent", F.lit(""))
     kept = records.where((F.length("timestamp") > 0) & (F.length(path) > 0)).where(text.stream_id(path) != "")
-    shaped = kept.select(
+    shaped = device.with_device(kept, agent).select(
         t.alias("timestamp"),
         path.alias("request_path"),
         text.stream_id(path).alias("stream_id"),
@@ -80,8 +80,8 @@ def events(records: DataFrame, seq: Column | None = None, keep: Sequence[str] =
         F.coalesce("clientCountry", F.lit("XX")).alias("client_country"),
         F.coalesce("locationID", F.lit("unknown")).alias("location_id"),
         F.coalesce("clientIP", F.lit("0.0.0.0")).alias("client_ip"),
-        device.device_type(agent).alias("device_type"),
-        device.unmatched_agent(agent).alias("ua_unmatched"),
+        "device_type",
+        "ua_unmatched",
         text.track(path).alias("track"),
         (F.lit(0) if seq is None else seq).cast("long").alias("ingest_seq"),
         *keep,
