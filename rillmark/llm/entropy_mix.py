@@ -109,8 +109,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
     result. Only ``doc_id, text, source`` are read, so further columns can't clash.
 
     Rounding goes from a source's largest documents to its smallest, by classes of a part of
-    an octave; each class gets a whole number of copies and the rate of the smaller ones is
-    solved again for the words still due, so a source misses its target by a small part of
+    an octave; each class gets a whole number of copies and the rates of the smaller ones are
+    tilted again for the words still due, so a source misses its target by a small part of
     a document where it has small ones. In a class the copies are spread evenly in the order
     of a hash. The order is cut into runs, so no source or class is sorted in one task.
     """
@@ -132,38 +132,43 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
 def _copies_by_class(classes: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for each size class of one source, the largest documents first.
 
-    What the classes rounded so far took too much or too little is a change of the token
-    constraint for the rest: the tilt of the classes left is solved anew for the tokens
-    that are still due. The rate stays between 0 and the largest repeat.
+    ``rates`` and ``words`` are the class's sums of the tilted rates and of the words that they
+    take. What the classes rounded so far took too much or too little is a change of the
+    token constraint for the rest: their rates are tilted by one more common factor, so
+    that they take the words still due. No document exceeds the largest repeat.
     """
     classes = classes.sort_values("class", ascending=False)
     due = float(classes["target"].iloc[0])
-    left = float(classes["tokens"].sum())
+    left = float(classes["words"].sum())
     given = []
-    for n, tokens in zip(classes["n"], classes["tokens"], strict=True):
-        rate = min(max(due / left, 0.0), float(MAX_REPEAT)) if left else 1.0
-        given.append(int(n * rate + 0.5))
+    for n, tokens, rates, words in zip(classes["n"], classes["tokens"], classes["rates"], classes["words"], strict=True):
+        factor = max(due, 0.0) / left if left > 0 else 1.0
+        given.append(min(int(factor * rates + 0.5), MAX_REPEAT * int(n)))
         due -= given[-1] * tokens / n
-        left -= tokens
+        left -= words
     return classes.assign(given=given)[["source", "class", "n", "given"]]
 
 
+def size_class() -> Column:
+    """Octave of ``size + 1`` and the part of it, in whole numbers."""
+    octave = "length(bin(size + 1)) - 1"
+    part = f"(size + 1 - shiftleft(1L, {octave})) * {CLASSES_PER_OCTAVE} div shiftleft(1L, {octave})"
+    return F.expr(f"cast({CLASSES_PER_OCTAVE} * ({octave}) + {part} as int)")
+
+
 def _round_to_copies(rows: DataFrame) -> DataFrame:
     """Deal each class's copies evenly over its documents, in runs of bounded length."""
-    draw = F.xxhash64("doc_id", "size")
-    rows = (
-        rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_OCTAVE).cast("int"))
-        .withColumn("run", F.pmod(draw, F.col("runs")).cast("long"))
-        .withColumn("draw", draw)
-    )
+    # a draw that other engines can repeat: the first 60 bits of a digest
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size")), 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("class", size_class()).withColumn("draw", draw).withColumn("run", F.pmod("draw", F.col("runs")).cast("long"))
     per_run = rows.groupBy("source", "class", "run").agg(
-        F.count("*").alias("n"), F.sum("size").alias("tokens"), F.first("target").alias("target")
+        F.count("*").alias("n"), F.sum("size").alias("tokens"), F.sum("rate").alias("rates"), F.sum(F.col("rate") * F.col("size")).alias("words"), F.first("target").alias("target")
     )
     per_run = stage_table(per_run, "size-classes")
     of_class = ["source", "class"]
     dealt = (
         per_run.groupBy(*of_class)
-        .agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.first("target").alias("target"))
+        .agg(*[F.sum(c).alias(c) for c in ("n", "tokens", "rates", "words")], F.first("target").alias("target"))
         .groupBy("source")
         .applyInPandas(_copies_by_class, "source string, class int, n long, given long")
     )

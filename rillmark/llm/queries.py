@@ -91,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_jsd_quality": sql.jsd_quality(),
     "op5_url_templates": sql.url_templates(),
+    "op6_entropy_mix": sql.entropy_mix(),
     "op8_partenum_jaccard": sql.jaccard_components(),
     "op10_suffix_dedup": sql.suffix_dedup(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rillmark.llm import entropy_mix as e
 from rillmark.llm import jsd_quality as q
 from rillmark.llm import url_templates as u
 
@@ -142,3 +143,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   b.lang AS nearest, round(b.c, 6) AS class_distance, round(b.w, 6) AS word_distance
 FROM base LEFT JOIN best USING (doc_id)
 """
+
+
+def entropy_mix(weights: tuple[int, ...] = (1, 2, 3)) -> str:
+    """Targets by raising the level source by source, the dual's closed form for one family, and the rounding."""
+    octave = "(length(bin(size + 1)) - 1)"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS.format('text')}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, greatest(1, ceil(count(*) / {e.ROWS_PER_RUN}))::BIGINT AS runs FROM d GROUP BY source),
+weighted AS (SELECT *, {list(weights)}[(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(weights)} + 1]::DOUBLE AS w FROM s),
+ordered AS (SELECT *, {e.MAX_REPEAT} * source_size / w AS bound FROM weighted),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({e.MAX_REPEAT} * source_size) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM ordered WINDOW b AS (ORDER BY bound, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, runs, least({float(e.MAX_REPEAT)} * source_size, w * coalesce(max(CASE WHEN bound > level THEN level END) OVER (), CAST('inf' AS DOUBLE))) AS target FROM levels),
+rows_ AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, t.runs,
+    {e.CLASSES_PER_OCTAVE} * {octave} + (size + 1 - (1::BIGINT << {octave})) * {e.CLASSES_PER_OCTAVE} // (1::BIGINT << {octave}) AS class,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(size AS VARCHAR)), 1, 15) AS BIGINT) AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT source, class, count(*) AS n, sum(size)::BIGINT AS tokens, sum(rate) AS rates, sum(rate * size) AS words, any_value(target) AS target,
+    row_number() OVER (PARTITION BY source ORDER BY class DESC) AS nth
+  FROM rows_ GROUP BY source, class),
+l AS (SELECT source, sum(words) AS words FROM c GROUP BY source),
+f AS (
+  SELECT c.source, c.nth, c.class, c.n, c.target AS due, l.words AS left_,
+    least(floor(CASE WHEN l.words > 0 THEN greatest(c.target, 0) / l.words ELSE 1 END * c.rates + 0.5), {e.MAX_REPEAT} * c.n)::BIGINT AS given, c.tokens, c.words
+  FROM c JOIN l ON c.source IS NOT DISTINCT FROM l.source WHERE nth = 1
+  UNION ALL
+  SELECT source, nth, class, n, due, left_, least(floor(CASE WHEN left_ > 0 THEN greatest(due, 0) / left_ ELSE 1 END * rates + 0.5), {e.MAX_REPEAT} * n)::BIGINT, tokens, words
+  FROM (SELECT c.source, c.nth, c.class, c.n, f.due - f.given::DOUBLE * f.tokens / f.n AS due, f.left_ - f.words AS left_, c.rates, c.tokens, c.words
+    FROM f JOIN c ON f.source IS NOT DISTINCT FROM c.source AND c.nth = f.nth + 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY draw % runs, draw, doc_id, size) AS place FROM rows_),
+dealt AS (
+  SELECT p.doc_id, p.size, p.source_size, p.target,
+    CASE WHEN p.size = 0 THEN 1 ELSE (2 * place * given + n) // (2 * n) - (2 * (place - 1) * given + n) // (2 * n) END AS copies
+  FROM placed p JOIN f ON p.source IS NOT DISTINCT FROM f.source AND p.class = f.class)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM dealt
+"""
