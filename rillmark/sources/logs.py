@@ -31,14 +31,17 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None, lookback_hours: int = 0) -> DataFrame:
     """A stream of the lines of new files, without line ids, which only a batch can give.
 
-    ``clean`` may be ``delete`` or ``archive`` once a file was processed.
+    ``clean`` may be ``delete`` or ``archive`` once a file was processed. With ``lookback_hours``
+    files that are older than so long before the newest one are left.
     """
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if lookback_hours:
+        reader = reader.option("maxFileAge", f"{lookback_hours}h")
     if clean:
         reader = reader.option("cleanSource", clean)
         reader = reader.option("sourceArchiveDir", archive) if archive else reader

@@ -39,8 +39,8 @@ class EdgeLogStream:
         self.spark, self.state_dir, self.sink = spark, state_dir.rstrip("/"), sink
         self.settings, self.geo, self.clock = settings or Settings(), geo, clock
 
-    def start(self, path: str, checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None) -> StreamingQuery:
-        lines = logs.stream_lines(self.spark, path, files_per_batch, clean, archive)
+    def start(self, path: str, checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None, lookback_hours: int = 0) -> StreamingQuery:
+        lines = logs.stream_lines(self.spark, path, files_per_batch, clean, archive, lookback_hours)
         return lines.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def _path(self, table: str, batch: int) -> str:

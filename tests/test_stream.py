@@ -74,3 +74,14 @@ def test_nothing_to_do(spark, tmp_path):
     stream = EdgeLogStream(spark, f"file://{tmp_path}/state", lambda df, b: got.setdefault(b, df.count()))
     stream.process(spark.createDataFrame([("broken", "f", 0)], "value string, file string, line long"), 0)
     assert got == {}
+
+
+def test_command_line(spark, tmp_path):
+    from rillmark.__main__ import main
+
+    (tmp_path / "in" / "20260203" / "12").mkdir(parents=True)
+    put(tmp_path / "in" / "20260203" / "12", "rtl.b+0+1.ndjson.gz", line(0), line(5, clientIP="10.0.0.7"))
+    args = ["--input", str(tmp_path / "in"), "--state", f"file://{tmp_path}/state", "--checkpoint", f"file://{tmp_path}/cp", "--output", f"file://{tmp_path}/out", "--once", "--lookback-hours", "2"]
+    main(args, spark)
+    rows = {r.series: r.value for r in spark.read.json(f"{tmp_path}/out/batch=0").collect()}
+    assert value({(s, 0): v for s, v in rows.items()}, "cdn_viewers") == 2
