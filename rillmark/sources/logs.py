@@ -93,13 +93,13 @@ def events(records: DataFrame, seq: Column | None = None, keep: Sequence[str] =
 
 
 def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Events of compressed or plain NDJSON files; ``ingest_seq`` rises with file and line.
+    """Events of compressed or plain NDJSON files, with ``file`` and ``line``.
 
-    The running id is by partition, and partitions don't follow file names. Where arrival order
-    over several files matters, order by ``file`` and then by the id; here the id serves,
-    as the session fold treats each file's batch on its own.
+    ``ingest_seq`` is the line's id, which rises within a file. Ids of different files don't
+    follow file names; where arrival order over files matters, as for sessions,
+    ``sessions.in_arrival_order`` numbers each pair's events by file, then line.
     """
-    return events(parsed(read_lines(spark, paths)), F.col("line"))
+    return events(parsed(read_lines(spark, paths)), F.col("line"), keep=("file", "line"))
 
 
 def file_report(lines: DataFrame) -> DataFrame:
