@@ -4,7 +4,7 @@ A byte goes if it lies in a string of ``length`` bytes that also starts in a doc
 smaller id. Three steps find these strings:
 
 1. Every window of ``length`` bytes is named by the smallest hash among its q-grams (its
-   anchor). Equal windows have equal anchors, so only anchors are shuffled, 8 bytes for
+   anchor). Equal windows have equal anchors, so only anchors are shuffled, 5 bytes for
    each run of windows with the same one, and only anchors met in two texts go on.
 2. The texts are read again; each run of windows under such an anchor is sent, as one
    string, to the bucket of the anchor.
@@ -77,6 +77,22 @@ _SCHEMA = "bucket int, home int, blob binary"
 _HOME = U64(0xC2B2AE3D27D4EB4F)
 
 
+def _short(anchor: np.ndarray) -> np.ndarray:
+    """40 bits of an anchor. A bucket holds a bounded number of anchors, so at any corpus size about one pair of
+    them in it agrees by chance; such a pair is looked at for nothing, no more."""
+    return mix(anchor) & U64((1 << 40) - 1)
+
+
+def _five_bytes(short: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+
+
+def _from_five_bytes(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(-1, 5)
+    return wide.reshape(-1).view(U64)
+
+
 def _home(anchor: np.ndarray, buckets: int) -> np.ndarray:
     # anchors are minima, so their high bits are poor: scatter them
     return (mix(anchor * _HOME) % U64(buckets)).astype(np.int64)
@@ -161,7 +177,7 @@ def _anchor_blobs(length: int, buckets: int):
                 several = np.zeros(len(first), bool)
                 several[group[text != text[first][group]]] = True
                 known = np.flatnonzero(several[group])
-                rows = _to_homes(k1, k2, text[known], anchor[known], buckets)
+                rows = _to_homes(k1, k2, text[known], _short(anchor[known]), buckets)
                 anchor, text = anchor[first], text[first]
                 home = _home(anchor, buckets)
                 order = np.lexsort((text, home))
@@ -172,7 +188,7 @@ def _anchor_blobs(length: int, buckets: int):
                     if len(t):
                         turn = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                         runs = np.diff(np.r_[turn, len(t)]).astype(np.int32)
-                        rows.append((i, None, pack(k1[t[turn]], k2[t[turn]], runs, anchor[cut[i] : cut[i + 1]])))
+                        rows.append((i, None, pack(k1[t[turn]], k2[t[turn]], runs, _five_bytes(_short(anchor[cut[i] : cut[i + 1]])))))
                 if rows:
                     yield _batch(*zip(*rows, strict=True))
             k1s.clear(), k2s.clear(), anchors.clear(), texts.clear()
@@ -204,11 +220,11 @@ def _shared_anchors(buckets: int):
         held: dict[int, list[bytes]] = {}
         yield from _sort_rows(batches, held)
         for b in list(held):
-            parts = [unpack(x, np.int64, np.int64, np.int32, U64) for x in held.pop(b)]
+            parts = [unpack(x, np.int64, np.int64, np.int32, np.uint8) for x in held.pop(b)]
             key = np.stack([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])])
             keys, which = np.unique(key, axis=1, return_inverse=True)
             text = np.repeat(which.reshape(-1), np.concatenate([p[2] for p in parts]))
-            anchor = np.concatenate([p[3] for p in parts])
+            anchor = _from_five_bytes(np.concatenate([p[3] for p in parts]))
             parts.clear()
             order = np.argsort(anchor, kind="stable")
             anchor, text = anchor[order], text[order]
@@ -487,7 +503,7 @@ def _send_strings(length: int, buckets: int):
             whose = np.repeat(np.arange(docs), [len(x) for x in known])
             # a text's anchors against those shared: compare within the text
             tag = lambda h, d: mix(h + d.astype(U64) * U64(0xD1B54A32D192ED03))
-            hit = np.isin(tag(anchor, doc), tag(pair, whose))
+            hit = np.isin(tag(_short(anchor), doc), tag(pair, whose))
             start, count, anchor, doc = start[hit], count[hit], anchor[hit], doc[hit]
             if len(start):
                 size = count + length - 1
@@ -585,7 +601,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # an anchor of 8 bytes for about 15 bytes of text
+    # an anchor of 5 bytes for about 15 bytes of text
     buckets = max(least, -(-size // (2 * BUCKET_BYTES)))
     parts = max(least, -(-size // TEXT_BYTES))
     text = F.coalesce("text", F.lit("")).cast("binary")
