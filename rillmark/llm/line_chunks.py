@@ -76,13 +76,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         raw = memoryview(block.data)
         out = []
-        ids, ks, lists = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "chunks"))
-        for i, (doc, k, chunks) in enumerate(zip(ids, ks, lists, strict=True)):
+        ks, lists = (column(block.rows, c).to_pylist() for c in ("k", "chunks"))
+        for i, (k, chunks) in enumerate(zip(ks, lists, strict=True)):
             lines = bytes(raw[block.off[i] : block.off[i + 1]]).split(b"\n")
-            out += [(doc, k, c["line"], c["h1"], c["h2"], b"\n".join(lines[c["line"] : c["line"] + c["n"]])) for c in chunks]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        types = [pa.int64()] * 5 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "k", "line", "h1", "h2", "bytes"])
+            out += [(k, c["line"], b"\n".join(lines[c["line"] : c["line"] + c["n"]])) for c in chunks]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        types = [pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "line", "bytes"])
 
 
 def _cut(texts: bool):
@@ -92,7 +92,10 @@ def _cut(texts: bool):
             chunk_doc = line_chunks(block.data, block.off)[0]
             n_chunks = np.bincount(chunk_doc, minlength=len(block.off) - 1)
             out = []
-            for i, gone in enumerate(column(block.rows, "gone").to_pylist()):
+            ids, ks, lists = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "repeated"))
+            for i, (doc, k, repeated) in enumerate(zip(ids, ks, lists, strict=True)):
+                # the first occurrence stays, and so does all of a row without an id
+                gone = [c for c in repeated or () if doc is not None and (doc, k, c["line"]) != (c["first_doc"], c["first_k"], c["first_line"])]
                 text = bytes(raw[block.off[i] : block.off[i + 1]])
                 lines = text.split(b"\n")
                 n_lines, kept = len(lines), text
@@ -100,7 +103,7 @@ def _cut(texts: bool):
                     drop = {j for c in gone for j in range(c["line"], c["line"] + c["n"])}
                     kept = b"\n".join(x for j, x in enumerate(lines) if j not in drop)
                     n_lines -= len(drop)
-                out.append((len(lines), n_lines, len(gone or ()), len(text), len(kept), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((len(lines), n_lines, len(gone), len(text), len(kept), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True))
             arrays = [column(block.rows, "doc_id"), pa.array(cols[0], pa.int64()), pa.array(n_chunks, pa.int64())]
             arrays += [pa.array(c, pa.int64()) for c in cols[1:5]] + [pa.array(cols[5], pa.string())]
@@ -132,35 +135,27 @@ def remove_repeated_chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
     )
     place = F.struct("doc_id", "k", "line")
     same = ["h1", "h2"]
-    repeated = chunks.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*same, "first")
-    involved = chunks.join(repeated, same).distinct()
-    per_text = (
-        involved.groupBy("doc_id", "k").agg(F.collect_list(F.struct("line", "n", "h1", "h2")).alias("chunks")).hint("shuffle_hash")
+    repeated = (
+        chunks.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+        .select(*same, F.col("first.doc_id").alias("first_doc"), F.col("first.k").alias("first_k"), F.col("first.line").alias("first_line"))
     )
-    # the key is computed from the text, so both joins below can share this exchange
+    # equal texts have equal chunks, so from here on a text stands once, however many rows have it
+    by_text = stage_table(chunks.select("k", "line", "n", *same).distinct().join(repeated, same).drop(*same), "repeated")
+    owner = chunks.groupBy("k").agg(F.min("doc_id").alias("owner"))
+    wanted = by_text.groupBy("k").agg(F.collect_list(F.struct("line", "n")).alias("chunks")).join(owner, "k").hint("shuffle_hash")
+    # the key is computed from the text, so both joins below share this exchange
     moved = keyed.repartition(parts, "k")
     pieces = (
-        moved.join(per_text.withColumnRenamed("doc_id", "of"), "k").where("coalesce(doc_id - of, 1) = 0")
-        .select("doc_id", "k", "text", "chunks")
-        .mapInArrow(_extract, "doc_id long, k long, line long, h1 long, h2 long, bytes binary")
+        moved.join(wanted, "k").where("coalesce(doc_id - owner, 1) = 0").select("k", "text", "chunks").mapInArrow(_extract, "k long, line long, bytes binary")
     )
-    pieces = stage_table(pieces.distinct(), "pieces")
-    firsts = repeated.select(*same, "first.*").join(pieces, [*same, "doc_id", "k", "line"]).select(*same, F.col("bytes").alias("first_bytes"), place.alias("first"))
+    pieces = stage_table(pieces.dropDuplicates(["k", "line"]), "pieces")
+    firsts = pieces.select(F.col("k").alias("first_k"), F.col("line").alias("first_line"), F.col("bytes").alias("first_bytes"))
     # byte comparison with the first occurrence; one that only shares the hashes stays
-    gone = (
-        pieces.join(firsts, same)
-        .where((place != F.col("first")) & (F.col("bytes") == F.col("first_bytes")))
-        .select("doc_id", "k", "line", *same)
-        .join(chunks.distinct(), ["doc_id", "k", "line", *same])
-        .groupBy("doc_id", "k")
-        .agg(F.collect_list(F.struct("line", "n")).alias("gone"))
-        .withColumnRenamed("doc_id", "of")
-        .hint("shuffle_hash")
-    )
+    verified = by_text.join(pieces, ["k", "line"]).join(firsts, ["first_k", "first_line"]).where("bytes = first_bytes")
+    gone = verified.groupBy("k").agg(F.collect_list(F.struct("line", "n", "first_doc", "first_k", "first_line")).alias("repeated")).hint("shuffle_hash")
     schema = "doc_id long, n_lines long, n_chunks long, n_kept_lines long, n_removed_chunks long, n_bytes long, n_kept_bytes long, kept_sha256 string"
-    own = (moved["k"] == gone["k"]) & F.expr("coalesce(doc_id - of, 1) = 0")
     return (
-        moved.join(gone, own, "left")
-        .select("doc_id", "text", "gone")
+        moved.join(gone, "k", "left")
+        .select("doc_id", "k", "text", "repeated")
         .mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
     )
