@@ -1,4 +1,4 @@
-"""Line deduplication by content-defined chunks.
+"""Line deduplication by content-defined chunks, or by all runs of lines.
 
 A text's lines are cut into chunks where a rolling hash over the hashes of the last ``ROLL``
 lines meets a condition, so an inserted or deleted line moves boundaries only near it. A
@@ -6,14 +6,21 @@ chunk of ``LEAST_LINES`` or more lines that also stands earlier in the corpus (i
 with a smaller id, or further up in its own) is removed, after its bytes were compared with
 those of its first occurrence.
 
-Chunk fingerprints are small rows, counted by grouped minima with partial sums. Only bytes of
-repeated chunks are shuffled. Texts are exchanged once, for both joins that read them.
+Chunks miss most runs that are shorter than the way from one boundary to the next. With
+``runs`` the condition is left out: every window of ``LEAST_LINES`` lines is a seed. A run of
+lines stands earlier if its windows do, so overlapping windows add up to all of it, from its
+first line to its last, wherever chunks end.
+
+Fingerprints are small rows, counted by grouped minima with partial sums. Only bytes of
+repeated lines are shuffled, each line of a text once. Texts are exchanged once, for both joins
+that read them.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +37,21 @@ LEAST_LINES = 2
 TEXT_BYTES = 24_000_000
 
 
-def line_chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of each text: document, first line in it, number of lines, and two hashes of the bytes.
+class Lines(NamedTuple):
+    """The lines of a block's texts, in order; an empty text has one empty line."""
 
-    An empty text has one empty line. The end of a text always is a boundary.
-    """
+    doc: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    last: np.ndarray  # whether a line is its text's last
+    q: np.ndarray  # prefix hash of the block
+    h: np.ndarray  # hash of each line
+
+
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _lines(data: np.ndarray, off: np.ndarray) -> Lines:
     docs = len(off) - 1
     cuts = np.flatnonzero(data == 10)
     begin = np.concatenate([off[:-1], cuts + 1])
@@ -44,68 +61,106 @@ def line_chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.empty(0, bool)
     end = np.where(last, off[doc + 1], np.r_[begin[1:] - 1, 0])
     q = prefix_hash(data)
-    h = span_hash(q, begin, end)
+    return Lines(doc, begin, end, last, q, span_hash(q, begin, end))
+
+
+def _spans(lines: Lines, docs: int, at: np.ndarray, to: np.ndarray) -> Spans:
+    """Document, first line in it, number of lines, and two hashes of the bytes of the lines from ``at`` to ``to``."""
+    first_line = np.searchsorted(lines.doc, np.arange(docs))
+    h1 = span_hash(lines.q, lines.begin[at], lines.end[to])
+    sums = np.r_[U64(0), np.cumsum(mix(lines.h ^ U64(0xA24BAED4963EE407)))]
+    h2 = mix(sums[to + 1] - sums[at] + (to - at).astype(U64))
+    return lines.doc[at], at - first_line[lines.doc[at]], to - at + 1, h1, h2
+
+
+def line_chunks(data: np.ndarray, off: np.ndarray) -> Spans:
+    """Chunks of each text: document, first line in it, number of lines, and two hashes of the bytes.
+
+    An empty text has one empty line. The end of a text always is a boundary.
+    """
+    lines = _lines(data, off)
+    doc, h = lines.doc, lines.h
     rolling = np.zeros(len(h), U64)
     for j in range(ROLL):
         back = np.r_[np.zeros(j, U64), h[: len(h) - j]]
         # a line before the text's first counts as none
         own = np.r_[np.zeros(j, bool), doc[j:] == doc[: len(doc) - j]] if j else np.ones(len(doc), bool)
         rolling = rolling * U64(0x9FB21C651E98DF25) + np.where(own, back, U64(0))
-    stop = last | (mix(rolling) % U64(MEAN_LINES) == 0)
+    stop = lines.last | (mix(rolling) % U64(MEAN_LINES) == 0)
     at = np.flatnonzero(np.r_[True, stop[:-1]]) if len(stop) else np.empty(0, np.int64)
-    to = np.flatnonzero(stop)
-    first_line = np.searchsorted(doc, np.arange(docs))
-    h1 = span_hash(q, begin[at], end[to])
-    sums = np.r_[U64(0), np.cumsum(mix(h ^ U64(0xA24BAED4963EE407)))]
-    h2 = mix(sums[to + 1] - sums[at] + (to - at).astype(U64))
-    return doc[at], at - first_line[doc[at]], to - at + 1, h1, h2
+    return _spans(lines, len(off) - 1, at, np.flatnonzero(stop))
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
-        doc, line, n, h1, h2 = line_chunks(block.data, block.off)
-        m = n >= LEAST_LINES
-        ids = np.asarray(column(block.rows, "doc_id"))[doc[m]]
-        k = np.asarray(column(block.rows, "k"))[doc[m]]
-        cols = [ids, k, line[m], n[m], h1[m].view(np.int64), h2[m].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "k", "line", "n", "h1", "h2"])
+def line_windows(data: np.ndarray, off: np.ndarray) -> Spans:
+    """Like ``line_chunks``, every window of ``LEAST_LINES`` lines of one text."""
+    lines = _lines(data, off)
+    count = max(0, len(lines.doc) - LEAST_LINES + 1)
+    at = np.flatnonzero(lines.doc[:count] == lines.doc[len(lines.doc) - count :])
+    return _spans(lines, len(off) - 1, at, at + LEAST_LINES - 1)
+
+
+def _seed_rows(runs: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            doc, line, n, h1, h2 = (line_windows if runs else line_chunks)(block.data, block.off)
+            m = n >= LEAST_LINES
+            ids = np.asarray(column(block.rows, "doc_id"))[doc[m]]
+            k = np.asarray(column(block.rows, "k"))[doc[m]]
+            cols = [ids, k, line[m], n[m], h1[m].view(np.int64), h2[m].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "k", "line", "n", "h1", "h2"])
+
+    return run
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the listed chunks of each text."""
+    """Bytes of the listed lines of each text."""
     for block in blocks(batches):
         raw = memoryview(block.data)
         out = []
-        ks, lists = (column(block.rows, c).to_pylist() for c in ("k", "chunks"))
-        for i, (k, chunks) in enumerate(zip(ks, lists, strict=True)):
+        ks, lists = (column(block.rows, c).to_pylist() for c in ("k", "listed"))
+        for i, (k, listed) in enumerate(zip(ks, lists, strict=True)):
             lines = bytes(raw[block.off[i] : block.off[i + 1]]).split(b"\n")
-            out += [(k, c["line"], b"\n".join(lines[c["line"] : c["line"] + c["n"]])) for c in chunks]
+            out += [(k, j, lines[j]) for j in listed]
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         types = [pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "line", "bytes"])
 
 
+def _gone(doc: int, k: int, lines: list[bytes], marks: list[dict]) -> set[int]:
+    """Lines of repeated seeds of a text; the first occurrence stays, and what overlaps it in its own text."""
+    gone: set[int] = set()
+    differ = {(m["line"], m["first_k"], m["first_line"]) for m in marks if m["n"] is None}
+    for m in marks:
+        if m["n"] is None or ((doc, k) == (m["first_doc"], m["first_k"]) and m["line"] < m["first_line"] + LEAST_LINES):
+            continue
+        pairs = [(m["line"] + j, m["first_line"] + j) for j in range(m["n"])]
+        # lines of one text are compared here, those of two were by the join
+        if all(lines[a] == lines[b] if m["first_k"] == k else (a, m["first_k"], b) not in differ for a, b in pairs):
+            gone.update(a for a, _ in pairs)
+    return gone
+
+
 def _cut(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             raw = memoryview(block.data)
-            chunk_doc = line_chunks(block.data, block.off)[0]
-            n_chunks = np.bincount(chunk_doc, minlength=len(block.off) - 1)
+            chunk_doc, chunk_line, chunk_n, _, _ = line_chunks(block.data, block.off)
+            bounds = np.searchsorted(chunk_doc, np.arange(len(block.off)))
             out = []
-            ids, ks, lists = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "repeated"))
-            for i, (doc, k, repeated) in enumerate(zip(ids, ks, lists, strict=True)):
-                # the first occurrence stays, and so does all of a row without an id
-                gone = [c for c in repeated or () if doc is not None and (doc, k, c["line"]) != (c["first_doc"], c["first_k"], c["first_line"])]
+            ids, ks, lists = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "marks"))
+            for i, (doc, k, marks) in enumerate(zip(ids, ks, lists, strict=True)):
                 text = bytes(raw[block.off[i] : block.off[i + 1]])
                 lines = text.split(b"\n")
-                n_lines, kept = len(lines), text
-                if gone:
-                    drop = {j for c in gone for j in range(c["line"], c["line"] + c["n"])}
+                # all of a row without an id stays
+                drop = _gone(doc, k, lines, marks) if marks and doc is not None else set()
+                kept, n_gone = text, 0
+                if drop:
                     kept = b"\n".join(x for j, x in enumerate(lines) if j not in drop)
-                    n_lines -= len(drop)
-                out.append((len(lines), n_lines, len(gone), len(text), len(kept), hashlib.sha256(kept).hexdigest(), kept))
+                    own = slice(bounds[i], bounds[i + 1])
+                    n_gone = sum(drop.issuperset(range(a, a + n)) for a, n in zip(chunk_line[own].tolist(), chunk_n[own].tolist(), strict=True))
+                out.append((len(lines), len(lines) - len(drop), n_gone, len(text), len(kept), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True))
-            arrays = [column(block.rows, "doc_id"), pa.array(cols[0], pa.int64()), pa.array(n_chunks, pa.int64())]
+            arrays = [column(block.rows, "doc_id"), pa.array(cols[0], pa.int64()), pa.array(np.diff(bounds), pa.int64())]
             arrays += [pa.array(c, pa.int64()) for c in cols[1:5]] + [pa.array(cols[5], pa.string())]
             names = ["doc_id", "n_lines", "n_chunks", "n_kept_lines", "n_removed_chunks", "n_bytes", "n_kept_bytes", "kept_sha256"]
             if texts:
@@ -116,7 +171,7 @@ def _cut(texts: bool):
     return run
 
 
-def remove_repeated_chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, texts: bool = False, runs: bool = False) -> DataFrame:
     """Per row ``doc_id, n_lines, n_chunks, n_kept_lines, n_removed_chunks, n_bytes, n_kept_bytes, kept_sha256``.
 
     With ``texts`` also ``kept``, the bytes of the kept lines joined by line feeds. Texts are UTF-8
@@ -124,38 +179,53 @@ def remove_repeated_chunks(docs: DataFrame, texts: bool = False) -> DataFrame:
     its text and takes nothing from others. Rows that repeat both id and text are one document
     and get the same result; rows with one id and different texts are ordered by a hash of the
     text. Texts are read whole. Only ``doc_id`` and ``text`` are read.
+
+    With ``runs`` all runs of ``LEAST_LINES`` or more lines that stand earlier are removed, not
+    only whole chunks; each distinct line stays somewhere. ``n_removed_chunks`` counts the
+    chunks of which no line is left.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_BYTES))
     text = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k"))
-    chunks = stage_table(
-        keyed.where("doc_id is not null").mapInArrow(_chunk_rows, "doc_id long, k long, line long, n long, h1 long, h2 long"), "chunks"
+    seeds = stage_table(
+        keyed.where("doc_id is not null").mapInArrow(_seed_rows(runs), "doc_id long, k long, line long, n long, h1 long, h2 long"), "seeds"
     )
     place = F.struct("doc_id", "k", "line")
     same = ["h1", "h2"]
     repeated = (
-        chunks.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+        seeds.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
         .select(*same, F.col("first.doc_id").alias("first_doc"), F.col("first.k").alias("first_k"), F.col("first.line").alias("first_line"))
     )
-    # equal texts have equal chunks, so from here on a text stands once, however many rows have it
-    by_text = stage_table(chunks.select("k", "line", "n", *same).distinct().join(repeated, same).drop(*same), "repeated")
-    owner = chunks.groupBy("k").agg(F.min("doc_id").alias("owner"))
-    wanted = by_text.groupBy("k").agg(F.collect_list(F.struct("line", "n")).alias("chunks")).join(owner, "k").hint("shuffle_hash")
+    # equal texts have equal seeds, so from here on a text stands once, however many rows have it
+    by_text = stage_table(seeds.select("k", "line", "n", *same).distinct().join(repeated, same).drop(*same), "repeated")
+    # seeds overlap and so may share lines: each pair of lines is compared once
+    pairs = (
+        by_text.where("k <> first_k").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+        .select("k", (F.col("line") + F.col("j")).alias("line"), "first_k", (F.col("first_line") + F.col("j")).alias("first_line")).distinct()
+    )
+    pairs = stage_table(pairs, "pairs")
+    owner = seeds.groupBy("k").agg(F.min("doc_id").alias("owner"))
+    needed = pairs.select("k", "line").union(pairs.select("first_k", "first_line")).distinct()
+    wanted = needed.groupBy("k").agg(F.collect_list("line").alias("listed")).join(owner, "k").hint("shuffle_hash")
     # the key is computed from the text, so both joins below share this exchange
     moved = keyed.repartition(parts, "k")
     pieces = (
-        moved.join(wanted, "k").where("coalesce(doc_id - owner, 1) = 0").select("k", "text", "chunks").mapInArrow(_extract, "k long, line long, bytes binary")
+        moved.join(wanted, "k").where("coalesce(doc_id - owner, 1) = 0").select("k", "text", "listed").mapInArrow(_extract, "k long, line long, bytes binary")
     )
     pieces = stage_table(pieces.dropDuplicates(["k", "line"]), "pieces")
     firsts = pieces.select(F.col("k").alias("first_k"), F.col("line").alias("first_line"), F.col("bytes").alias("first_bytes"))
-    # byte comparison with the first occurrence; one that only shares the hashes stays
-    verified = by_text.join(pieces, ["k", "line"]).join(firsts, ["first_k", "first_line"]).where("bytes = first_bytes")
-    gone = verified.groupBy("k").agg(F.collect_list(F.struct("line", "n", "first_doc", "first_k", "first_line")).alias("repeated")).hint("shuffle_hash")
+    # byte comparison with the first occurrence; a seed that only shares the hashes stays
+    differ = (
+        pairs.join(pieces, ["k", "line"], "left").join(firsts, ["first_k", "first_line"], "left").where("not coalesce(bytes = first_bytes, false)")
+        .select("k", "line", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("first_doc"), "first_k", "first_line")
+    )
+    marks = by_text.select(*differ.columns).union(differ)
+    gone = marks.groupBy("k").agg(F.collect_list(F.struct("line", "n", "first_doc", "first_k", "first_line")).alias("marks")).hint("shuffle_hash")
     schema = "doc_id long, n_lines long, n_chunks long, n_kept_lines long, n_removed_chunks long, n_bytes long, n_kept_bytes long, kept_sha256 string"
     return (
         moved.join(gone, "k", "left")
-        .select("doc_id", "k", "text", "repeated")
+        .select("doc_id", "k", "text", "marks")
         .mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
     )

@@ -44,7 +44,7 @@ def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_chunks(_read(spark, sf_dir, "documents"))
+    return remove_repeated_chunks(_read(spark, sf_dir, "documents"), runs=True)
 
 
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

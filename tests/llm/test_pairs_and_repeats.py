@@ -183,6 +183,65 @@ def test_line_chunks_equal_brute_force(wide, rows):
     assert sum(r.n_removed_chunks for r in got) > 10
 
 
+def kept_lines(rows):
+    """Per row the kept lines, by all runs of two or more lines that stand earlier, and how many lines are in such runs."""
+    order = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda r: (r[0], hash_of[r[1]]))
+    first, kept, in_runs = {}, {}, 0
+    for d, t in order:
+        lines = t.split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            e, u, j = first.setdefault((lines[i], lines[i + 1]), (d, t, i))
+            if (e, u) != (d, t) or j + 2 <= i:
+                gone |= {i, i + 1}
+        in_runs += len(gone)
+        kept[d, t] = [x for i, x in enumerate(lines) if i not in gone]
+    return Counter((d, "\n".join(kept[d, t or ""] if d is not None else [t or ""])) for d, t in rows), in_runs
+
+
+hash_of: dict[str, int] = {}
+
+
+def test_all_repeated_runs_of_lines_go(spark, wide, rows):
+    """Recall is held against runs of lines, not chunks: nothing that stands earlier may be left."""
+    from pyspark.sql import functions as F
+
+    extra = [(900, "a\nb\nc\nd"), (901, "x1\na\nb\nx2"), (902, "y1\nb\nc\ny2\na\nb"), (903, "z\nz\nz"), (904, "q\nq\nq\nq\nq"), (905, "d\ne"), (905, "c\nd\nf")]
+    own = [(r[0], r[1]) for r in rows] + extra
+    df = wide.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    hash_of.update({r.t: r.k for r in df.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("k", F.xxhash64(F.col("t").cast("binary"))).collect()})
+    want, in_runs = kept_lines(own)
+    got = remove_repeated_chunks(df, texts=True, runs=True).collect()
+    assert Counter((r.doc_id, bytes(r.kept).decode()) for r in got) == want
+    by_id = {r.doc_id: bytes(r.kept).decode() for r in got}
+    assert (by_id[901], by_id[902], by_id[903], by_id[904]) == ("x1\nx2", "y1\ny2", "z\nz\nz", "q\nq")
+    assert sum(r.n_lines - r.n_kept_lines for r in remove_repeated_chunks(df).collect()) < in_runs
+    before, after = ({x for d, t in table if d is not None for x in (t or "").split("\n")} for table in (own, [(r.doc_id, bytes(r.kept).decode()) for r in got]))
+    assert before - after <= {""}
+
+
+def test_lines_that_only_share_hashes_stay(spark, monkeypatch):
+    from rillmark.llm import line_chunks as module
+
+    rows = [(1, "a\nb"), (2, "a\nc"), (3, "b\nb\na\nb")]
+    real = module.line_windows
+    monkeypatch.setattr(module, "_seed_rows", lambda runs: _one_hash(real))
+    got = remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"), texts=True, runs=True).collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == {1: b"a\nb", 2: b"a\nc", 3: b"b\nb"}
+
+
+def _one_hash(windows):
+    def run(batches):
+        import pyarrow as pa
+
+        for block in blocks.blocks(batches):
+            doc, line, n, h1, _ = windows(block.data, block.off)
+            ids, k = (np.asarray(blocks.column(block.rows, c))[doc] for c in ("doc_id", "k"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, k, line, n, 0 * line, 0 * line)], ["doc_id", "k", "line", "n", "h1", "h2"])
+
+    return run
+
+
 def test_no_rows(empty):
     assert jaccard_components(empty).count() == 0
     assert remove_repeats(empty).count() == 0
