@@ -367,12 +367,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
     )
     met = stage_table(met, "met")
     nodes = met.where("doc_id is not null").select("doc_id", "n_shingles", "class_id")
-    # a doc_id on several rows is one node: all its classes are linked by it
-    own_class = nodes.groupBy("doc_id").agg(F.min("class_id").alias("rep"))
     shared = (
         met.where("home is not null").select("home", "pairs").repartitionById(buckets, F.col("home")).mapInArrow(_distinct_pairs, "hub long, member long")
     )
-    members = _place_members(shared, own_class, nodes)
+    members = _place_members(shared, nodes)
     members = stage_table(members, "members")
     places = (
         members.groupBy("doc_id")
@@ -395,25 +393,21 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
     )
 
 
-def _place_members(shared: DataFrame, own_class: DataFrame, nodes: DataFrame) -> DataFrame:
+def _place_members(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """Where each set is compared: a group's only block, or all pairs of blocks with its own.
 
     A group is named by its smallest document. Names are drawn together by replacing each by
     the smallest name that its document itself has, so few groups repeat the same members.
+    A member is the smallest document of its class and sends the sets of all its rows, so where
+    a doc_id stands on rows with different texts, the one that owned the signature is among them.
     """
-    to_rep = own_class.where("doc_id <> rep")
     lower = shared.groupBy("member").agg(F.min("hub").alias("low"))
     named = (
         shared.join(lower.withColumnRenamed("member", "hub_"), F.col("hub") == F.col("hub_"), "left")
         .select(F.coalesce("low", "hub").alias("name"), "hub", "member")
     )
     group = named.select("name", "member").union(named.select("name", F.col("hub").alias("member"))).distinct()
-    group = (
-        group.join(to_rep.withColumnRenamed("doc_id", "member"), "member", "left")
-        .select("name", F.coalesce("rep", "member").alias("member"))
-        .distinct()
-    )
-    size = nodes.groupBy(F.col("doc_id").alias("member")).agg(F.max("n_shingles").alias("n"))
+    size = nodes.groupBy(F.col("doc_id").alias("member")).agg(F.sum("n_shingles").alias("n"))
     group = group.join(size, "member")
     total = group.groupBy("name").agg(F.sum("n").alias("features"), F.count("*").alias("members")).where("members > 1")
     blocked = group.join(total, "name").select(

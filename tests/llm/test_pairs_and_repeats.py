@@ -46,6 +46,14 @@ def test_jaccard_join_equals_all_pairs(wide, rows, percent, n):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(d, len(s), want[d]) for d, s in sets] + [(None, 0, None)] * 2)
 
 
+def test_one_id_with_several_texts_keeps_the_links_of_each(spark):
+    rng = random.Random(5)
+    one, two = ([f"{s}{rng.randrange(10**6)}" for _ in range(80)] for s in "ab")
+    texts = [(7, one), (7, two), (3, two), (9, [*one[:-1], "end"]), (11, [f"c{i}" for i in range(80)])]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in texts], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(df).collect()} == {(3, 3), (7, 3), (9, 3), (11, 11)}
+
+
 def test_groups_larger_than_a_block(docs, rows, monkeypatch):
     """Comparison in pairs of blocks gives the same components."""
     want = Counter(jaccard_components(docs).collect())
