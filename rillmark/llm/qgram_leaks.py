@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,16 +213,22 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The benchmark is broadcast in indexes of ``INDEX_CHARS`` characters at most; each is
     searched for in all documents, so nothing that grows is held at once.
     """
+    return _passages(docs, _indexes(benchmark))
+
+
+def _indexes(benchmark: DataFrame) -> list[Broadcast]:
+    items = benchmark.where("item_id is not null and length(text) > 0").select("item_id", "text").distinct()
+    made = (make_index(part) for part in _parts(items))
+    return [benchmark.sparkSession.sparkContext.broadcast(index) for index in made if index is not None]
+
+
+def _passages(docs: DataFrame, indexes: list[Broadcast]) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    items = benchmark.where("item_id is not null and length(text) > 0").select("item_id", "text").distinct()
     found = None
-    for part in _parts(items):
-        index = make_index(part)
-        if index is None:
-            continue
+    for index in indexes:
         rows = docs.mapInArrow(
-            _search(spark.sparkContext.broadcast(index)),
+            _search(index),
             "doc_id long, item_id long, item_begin long, item_length long, begin long, end long, edits long",
         )
         found = rows if found is None else found.union(rows)
@@ -245,10 +252,29 @@ def _parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _clean(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            clean = np.ones(len(block.valid), bool)
+            clean[[found[0] for found in find_leaks(block.data, block.off, shared.value)]] = False
+            yield block.rows.filter(pa.array(clean))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all columns are kept.
 
-    Rows with a null id or text are kept. The ids of leaking documents are joined, not collected.
+    Rows with a null text are kept. The ids of leaking documents are joined, not collected. Rows
+    with a null id are kept too, or with ``null_ids`` each is searched and decided by its own text.
     """
-    leaking = leaked_passages(docs, benchmark).select(F.col("doc_id").alias("_leaking_id")).distinct()
-    return docs.join(leaking, docs["doc_id"] == F.col("_leaking_id"), "left_anti")
+    indexes = _indexes(benchmark)
+    leaking = _passages(docs, indexes).select(F.col("doc_id").alias("_leaking_id")).distinct()
+    named = docs.where("doc_id is not null") if null_ids else docs
+    kept = named.join(leaking, docs["doc_id"] == F.col("_leaking_id"), "left_anti")
+    if not null_ids:
+        return kept
+    nameless = docs.where("doc_id is null")
+    for index in indexes:
+        nameless = nameless.mapInArrow(_clean(index), docs.schema)
+    return kept.union(nameless)

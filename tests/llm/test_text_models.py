@@ -245,6 +245,16 @@ def test_leaks(spark):
     assert kept == {15, 16, 17, 18, 19, None}
 
 
+@pytest.mark.parametrize("chars", [qgram_leaks.INDEX_CHARS, 50])
+def test_rows_without_id_are_dropped_by_their_own_text(spark, monkeypatch, chars):
+    docs, items = leak_tables(spark)
+    monkeypatch.setattr(qgram_leaks, "INDEX_CHARS", chars)
+    more = docs.union(spark.createDataFrame([(None, "harmless"), (None, None)], "doc_id long, text string"))
+    kept = qgram_leaks.drop_contaminated(more, items, null_ids=True).collect()
+    assert {r.doc_id for r in kept} == {15, 16, 17, 18, 19, None}
+    assert Counter(r.text for r in kept if r.doc_id is None) == Counter(["harmless", None])
+
+
 def test_leaks_index_by_index_and_without_rows(spark, monkeypatch):
     docs, items = leak_tables(spark)
     want = Counter(qgram_leaks.leaked_passages(docs, items).collect())
