@@ -15,6 +15,14 @@ from rillmark.llm.url_templates import Rule, judge_urls
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
+def test_language_model_keeps_twenty_thousand_words(spark):
+    rng = random.Random(1)
+    many = sorted({"".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(21_000)})
+    df = spark.createDataFrame([(i, " ".join(many[i::50]), "xx") for i in range(50)], "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert len(model.words) == 20_000 and len(model.grams[5]) == 10_000
+
+
 # quality rules
 
 
