@@ -8,30 +8,17 @@ from rillmark.llm import url_templates as u
 
 
 def url_templates() -> str:
-    """The rules, the shapes, one pair of expressions for each level of the tree, and the verdict."""
+    """The rules, the shapes, the tree level by level, and the verdict."""
     fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
     longest = sorted(u.RULES, key=lambda r: -len(r.host + r.path))
     name = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.host}{r.path}'" for r in longest) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in longest) + " END"
-    levels, last = [], "t0"
-    for d in range(u.DEPTH + 1):
-        levels.append(f"""
-s{d} AS (SELECT *, coalesce(string_split(shape, '/')[{d + 1}], '') AS segment FROM {last}),
-c{d} AS (SELECT host, template, segment, sum(labelled) AS n, sum(blocked) AS bad FROM s{d} GROUP BY ALL),
-n{d} AS (SELECT host, template, count(*) FILTER (segment NOT IN ('', '*', '**')) AS literals,
-    coalesce(sum(n) FILTER (n >= {u.LEAST_LABELS}), 0) AS all_n, coalesce(sum(bad) FILTER (n >= {u.LEAST_LABELS}), 0) AS all_bad
-  FROM c{d} GROUP BY ALL),
-b{d} AS (SELECT host, template, segment, CASE
-    WHEN segment NOT IN ('', '*', '**') AND literals > {u.WIDEST} THEN '*'
-    WHEN segment NOT IN ('', '*', '**') AND n >= {u.LEAST_LABELS}
-      AND (bad * all_n - all_bad * n) ** 2 <= {u.SIMILAR_Z * u.SIMILAR_Z} * all_bad * (all_n - all_bad) * n THEN '~'
-    ELSE segment END AS branch
-  FROM c{d} JOIN n{d} USING (host, template)),
-t{d + 1} AS (SELECT host, shape, labelled, blocked, template || '/' || branch AS template
-  FROM s{d} JOIN b{d} USING (host, template, segment))""")
-        last = f"t{d + 1}"
+    purity = lambda by, parent: (
+        f"(CAST(sum(blocked) OVER (PARTITION BY {by}) AS DOUBLE) + {parent} * {u.PRIOR_WEIGHT}) / "
+        f"(CAST(sum(labelled) OVER (PARTITION BY {by}) AS DOUBLE) + {u.PRIOR_WEIGHT})"
+    )
     return f"""
-WITH rests AS (
+WITH RECURSIVE rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{u.UPPER}', '{u.LOWER}') AS host,
@@ -41,16 +28,31 @@ ruled AS (
     list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
       lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > {u.LONG_SEGMENT} THEN '*' ELSE s END) AS segments
   FROM parsed),
-shaped AS (
-  SELECT *, array_to_string(CASE WHEN len(segments) > {u.DEPTH} THEN list_append(segments[1:{u.DEPTH}], '**') ELSE segments END, '/') AS shape
-  FROM ruled),
-t0 AS (
-  SELECT host, shape, count(decided) AS labelled, count(*) FILTER (decided = 'block') AS blocked, '' AS template
-  FROM shaped GROUP BY host, shape),{",".join(levels)},
-bad AS (
-  SELECT host, template FROM {last} GROUP BY ALL
-  HAVING (sum(blocked) + {u.PRIOR * u.PRIOR_WEIGHT}) / (sum(labelled) + {u.PRIOR_WEIGHT}) > {u.REJECT_ABOVE}),
-rejected AS (SELECT host, shape FROM {last} JOIN bad USING (host, template))
+shaped AS (SELECT *, array_to_string(segments, '/') AS shape FROM ruled),
+shapes AS (
+  SELECT host, shape, string_split(shape, '/') AS segs, count(decided) AS labelled, count(*) FILTER (decided = 'block') AS blocked
+  FROM shaped GROUP BY host, shape),
+tree AS (
+  SELECT host, shape, segs, labelled, blocked, '' AS template, {purity('host', u.PRIOR)} AS purity,
+    count(*) OVER (PARTITION BY host) AS left_, 0 AS depth
+  FROM shapes
+  UNION ALL
+  SELECT host, shape, segs, labelled, blocked, template || '/' || branch,
+    CASE WHEN sum(labelled) OVER (PARTITION BY host, template, branch) = all_n THEN purity ELSE {purity('host, template, branch', 'purity')} END,
+    count(*) OVER (PARTITION BY host, template, branch), depth + 1
+  FROM (
+    SELECT *, CASE WHEN segment IN ('', '*') THEN segment WHEN literals > {u.WIDEST} THEN '*'
+      WHEN n < {u.LEAST_LABELS} OR n * (bad / n - pooled) * (bad / n - pooled) <= {u.SIMILAR_Z * u.SIMILAR_Z} * pooled * (1.0 - pooled) THEN '~'
+      ELSE segment END AS branch
+    FROM (
+      SELECT *, sum(labelled) OVER (PARTITION BY host, template) AS all_n, sum(CASE WHEN nth = 1 AND segment NOT IN ('', '*') THEN 1 ELSE 0 END) OVER (PARTITION BY host, template) AS literals,
+        CAST(sum(blocked) OVER (PARTITION BY host, template) AS DOUBLE) / CAST(sum(labelled) OVER (PARTITION BY host, template) AS DOUBLE) AS pooled
+      FROM (
+        SELECT *, CAST(sum(labelled) OVER (PARTITION BY host, template, segment) AS DOUBLE) AS n,
+          CAST(sum(blocked) OVER (PARTITION BY host, template, segment) AS DOUBLE) AS bad,
+          row_number() OVER (PARTITION BY host, template, segment ORDER BY shape) AS nth
+        FROM (SELECT *, coalesce(segs[depth + 1], '') AS segment FROM tree WHERE left_ > 1 AND len(segs) >= depth)))) ),
+rejected AS (SELECT host, shape FROM tree WHERE (left_ = 1 OR len(segs) < depth) AND purity > {u.REJECT_ABOVE})
 SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN r.shape IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, shape
 FROM shaped LEFT JOIN rejected r USING (host, shape)
 """

@@ -307,8 +307,34 @@ def test_templates_are_rejected_by_their_labels(spark):
     assert few == {"allow"}
 
 
+def test_unlabelled_branches_have_their_ancestors_purity(spark):
+    """Planted hosts: a section without any label is blocked where its host or its parent mostly is, and nowhere else."""
+    pages, labels = [], []
+
+    def section(host, path, n, bad=None):
+        for i in range(n):
+            labels.extend([] if bad is None else [(len(pages), int(i < bad))])
+            pages.append((len(pages), f"http://{host}/{path}/{i}"))
+
+    section("spam.net", "win", 30, 30), section("spam.net", "buy", 3, 3), section("spam.net", "new", 5)
+    section("mixed.net", "bad", 40, 40), section("mixed.net", "good", 60, 0), section("mixed.net", "other", 5)
+    section("mixed.net", "bad/deep/er", 4), section("clean.net", "a", 30, 1), section("clean.net", "b", 5), section("none.net", "x", 5)
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = judge_urls(df, (), spark.createDataFrame(labels, "page_id long, blocked int")).collect()
+    assert {(r.host, r.path.rsplit("/", 1)[0]) for r in got if r.verdict == "block"} == {
+        ("spam.net", "/win"), ("spam.net", "/buy"), ("spam.net", "/new"), ("mixed.net", "/bad"), ("mixed.net", "/bad/deep/er"),
+    }
+
+
+def test_a_hot_host_with_many_labels(spark):
+    """Products of counts of this size overflow a long."""
+    df = spark.range(130_000).selectExpr("id page_id", "concat('http://h.net/', if(id % 2 = 0, 'spam', 'ham'), '/', id) url")
+    got = judge_urls(df, (Rule("block", "net", "/spam/"), Rule("allow", "net", "/ham/"))).groupBy("verdict").count().collect()
+    assert {(r.verdict, r["count"]) for r in got} == {("block", 65_000), ("allow", 65_000)}
+
+
 def test_url_edge_cases(spark):
     df = spark.createDataFrame([(None, "http://a.org/x/"), (1, "http://h.com/" + "a/" * 300), (1, "http://h.com/" + "a/" * 300)], "page_id long, url string")
     rows = judge_urls(df.selectExpr("*", "1 as rule", "2 as host", "3 as verdict", "4 as shape", "5 as template"), RULES).collect()
-    assert len(rows) == 3 and {r.verdict for r in rows} == {"allow", "block"} and max(r.shape.count("/") for r in rows) == 8
+    assert len(rows) == 3 and {r.verdict for r in rows} == {"allow", "block"} and max(r.shape.count("/") for r in rows) == 299
     assert judge_urls(df.where("false"), RULES).count() == 0
