@@ -176,6 +176,46 @@ def test_toxic_documents_are_found(spark):
     assert got[9000][0] == got[9001][0] == 0.0 and all(0 <= s <= 1 for s, _ in got.values())
 
 
+def test_scores_are_compressed_lengths_of_the_text(spark):
+    """The score of every text again, with zstandard alone, a word at a time."""
+    import zstandard
+
+    docs, labels = toxic_corpus(spark)
+    model = zstd_toxicity.learn(docs.where(~langid.held_out()), labels)
+    assert len(model.pairs) == zstd_toxicity.PAIRS and all(a != b for a, b in model.pairs)
+    length = lambda raw, text: len(
+        zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(raw)).compress(text)
+    )
+    half = len(model.evidence) // 2
+    got = {r.text: r.score for r in zstd_toxicity.score_toxicity(docs.where("doc_id % 70 = 0"), model).collect()}
+    assert len(got) > 5
+    for words, score in got.items():
+        total = 0.0
+        for w in re.findall(r"\w+", words.lower()):
+            text = f" {w} ".encode() + zstd_toxicity.CARRIER
+            d = sum(length(o, text) - length(t, text) for o, t in model.pairs)
+            total += model.evidence[max(-half, min(half, d)) + half]
+        far = total - model.threshold
+        assert score == pytest.approx(0.5 + 0.5 * far / (1 + abs(far)))
+
+
+def test_the_fit_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels = toxic_corpus(spark)
+    seen = []
+    monkeypatch.setattr(zstd_toxicity, "FIT_BYTES", 40_000)
+    monkeypatch.setattr(zstd_toxicity, "_fit", lambda fit, rest, seed: seen.append([*fit[0], *fit[1], *rest[0], *rest[1]]))
+    zstd_toxicity.learn(docs, labels)
+    assert 20_000 < sum(len(t.encode()) for t in seen[0]) <= 40_000
+
+
+def test_chance_does_not_add_up_in_long_texts():
+    weights = zstd_toxicity._weights(Counter({0: 9_000, 5: 200, 30: 20}), Counter({0: 880, 5: 22, 30: 20}))
+    reach = len(weights) // 2
+    assert weights[reach] == weights[reach + 5] < 0 < weights[reach + 30]
+    # what ordinary text has by chance comes to nothing, however long it is
+    assert zstd_toxicity._evidence(Counter({0: 900_000, 5: 20_000, 30: 2_000}), weights) == pytest.approx(0, abs=0.05 * 2_000 * zstd_toxicity.MOST_EVIDENCE)
+
+
 def test_without_both_classes_scores_are_zero(wide, empty, spark):
     labels = spark.createDataFrame([(20, 1, 0)], "doc_id long, quality int, toxic int")
     assert zstd_toxicity.learn(wide, labels) is None and zstd_toxicity.learn(empty, labels) is None
