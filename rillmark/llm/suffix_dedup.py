@@ -29,7 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.blocks import U64, Block, blocks, column, mix, pack, powers, prefix_hash, span_hash, unpack, window_hash, _UNBASE
+from rillmark.llm.blocks import U64, blocks, column, mix, pack, powers, prefix_hash, span_hash, unpack, window_hash, _UNBASE
+from rillmark.llm.copies import owners, split_hot_copies
+from rillmark.llm.scratch import stage_table
 
 GRAM = 20
 #: What a task gathers before it sends on, and bytes of strings that it works on at once.
@@ -561,27 +563,24 @@ def cut_spans(text: bytes, spans: bytes | None) -> tuple[list[tuple[int, int]],
     return list(zip(begin.tolist(), end.tolist(), strict=True)), b"".join(kept)
 
 
-def _cut(length: int, texts: bool):
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(texts: bool):
+    """What is left of each text without its spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            out = []
             raw = memoryview(block.data)
-            for i, (doc, first, spans) in enumerate(zip(*(column(block.rows, c).to_pylist() for c in ("doc_id", "first_doc", "spans")), strict=True)):
-                text = bytes(raw[block.off[i] : block.off[i + 1]])
-                if doc is not None and first is not None and doc > first and len(text) >= length:
-                    gone, kept = [(0, len(text))], b""
-                else:
-                    gone, kept = cut_spans(text, spans)
-                out.append((doc, len(text), len(text) - len(kept), gone, kept))
+            out = []
+            for i, spans in enumerate(column(block.rows, "spans").to_pylist()):
+                gone, kept = cut_spans(bytes(raw[block.off[i] : block.off[i + 1]]), spans)
+                out.append(([{"begin": a, "end": b} for a, b in gone], sum(b - a for a, b in gone), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True))
-            arrays = [
-                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                pa.array([[{"begin": a, "end": b} for a, b in g] for g in cols[3]], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                pa.array([hashlib.sha256(k).hexdigest() for k in cols[4]], pa.string()),
-            ]
-            names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"]
+            arrays = [column(block.rows, "k1"), column(block.rows, "k2"), pa.array(cols[0], _SPANS), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
+            names = ["k1", "k2", "spans", "n_removed", "kept_sha256"]
             if texts:
-                arrays.append(pa.array(cols[4], pa.binary()))
+                arrays.append(pa.array(cols[3], pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -597,16 +596,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     ``doc_id`` don't remove from one another. A row with a null ``doc_id`` keeps its text and
     takes none from others. Strings are judged on the input. Only ``doc_id`` and ``text`` are
     read.
+
+    Texts of ``length`` bytes or more are exchanged once, by text and id, so copies of one text
+    don't meet in a task; short ones aren't. A copy loses all of its text, which takes its key only.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    whole = [F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256")]
+    rows = stage_table(keyed.select("doc_id", "k1", "k2", *whole, *([F.col("text").alias("whole")] if texts else [])), "rows")
+    sums = rows.agg(F.sum("n_bytes").alias("size"), F.count("*").alias("n")).first()
+    size = sums["size"] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # an anchor of 5 bytes for about 15 bytes of text
     buckets = max(least, -(-size // (2 * BUCKET_BYTES)))
     parts = max(least, -(-size // TEXT_BYTES))
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    named = keyed.where("doc_id is not null")
+    named = keyed.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     found = (
         named.select("k1", "k2", "text").mapInArrow(_anchor_blobs(length, buckets), _SCHEMA)
         .repartitionById(buckets, F.col("bucket"))
@@ -615,15 +620,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
         .mapInArrow(_gather, "k1 long, k2 long, found binary")
         .withColumnRenamed("found", "anchors")
     )
-    first = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"))
-    # both joins read the texts from this one exchange; an equality of ids below would become
-    # a join key and make it two
-    moved = keyed.repartition(parts, "k1", "k2")
     key = ["k1", "k2"]
-    suspects = found.join(first, key).hint("shuffle_hash")
+    groups = owners(rows.where(F.col("n_bytes") >= length), key)
+    owned = groups.select(*key, F.col("owner").alias("doc_id"))
+    # both joins read the texts from this one exchange
+    moved = named.repartition(parts, "k1", "k2", "doc_id")
     spans = (
-        moved.join(suspects, key)
-        .where("coalesce(doc_id - first_doc, 1) = 0")
+        moved.join(found.join(owned, key).hint("shuffle_hash"), [*key, "doc_id"])
         .select("doc_id", "k1", "k2", "text", "anchors")
         .mapInArrow(_send_strings(length, buckets), _SCHEMA)
         .repartitionById(buckets, F.col("bucket"))
@@ -632,10 +635,27 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
         .mapInArrow(_gather, "k1 long, k2 long, found binary")
         .withColumnRenamed("found", "spans")
     )
-    verdicts = first.join(spans, key, "left").hint("shuffle_hash")
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:long,end:long>>, kept_sha256 string"
-    return (
-        moved.join(verdicts, key, "left")
-        .select("doc_id", "text", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), F.col("spans")).alias("spans"))
-        .mapInArrow(_cut(length, texts), schema + (", kept binary" if texts else ""))
+    schema = "k1 long, k2 long, spans array<struct<begin:long,end:long>>, n_removed long, kept_sha256 string"
+    cut = (
+        moved.join(spans.join(owned, key).hint("shuffle_hash"), [*key, "doc_id"])
+        .select(*key, "text", "spans")
+        .mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
+        .dropDuplicates(key)
     )
+    copies, others = split_hot_copies(rows, groups.where("n > 1"), key, sums["n"])
+    verdicts = groups.join(cut, key, "left").where("n > 1 or n_removed is not null")
+    judged = others.join(verdicts, key, "left").unionByName(copies, allowMissingColumns=True)
+    own = F.col("doc_id") == F.col("owner")
+    copy = F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))
+    mine = own & F.col("n_removed").isNotNull()
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
+    choose = lambda if_copy, if_cut, else_: F.when(copy, if_copy).when(mine, if_cut).otherwise(else_)
+    result = [
+        "doc_id", "n_bytes",
+        choose(F.col("n_bytes"), F.col("n_removed"), F.lit(0).cast("long")).alias("n_removed"),
+        choose(all_of_it, F.col("spans"), F.array().cast("array<struct<begin:long,end:long>>")).alias("spans"),
+        choose(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha256"), F.col("whole_sha256")).alias("kept_sha256"),
+    ]
+    if texts:
+        result.append(choose(F.lit(b""), F.col("kept"), F.col("whole")).alias("kept"))
+    return judged.select(*result)
