@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.blocks import U64, blocks, column, mix, prefix_hash, span_hash
+from rillmark.llm.copies import owners, split_hot_copies
 from rillmark.llm.scratch import stage_table
 
 #: Lines that the rolling hash sees, and the lines between boundaries on average.
@@ -99,15 +100,39 @@ def line_windows(data: np.ndarray, off: np.ndarray) -> Spans:
     return _spans(lines, len(off) - 1, at, at + LEAST_LINES - 1)
 
 
+_KEY = pa.binary()
+
+
+def _measure(texts: bool):
+    """Per row what it has if no line goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            docs = len(block.valid)
+            doc, _, n, _, _ = line_chunks(block.data, block.off)
+            raw = memoryview(block.data)
+            digests = [hashlib.sha256(raw[block.off[i] : block.off[i + 1]]).hexdigest() for i in range(docs)]
+            lines = np.bincount(doc, n, docs).astype(np.int64)
+            arrays = [column(block.rows, "doc_id"), column(block.rows, "k")]
+            arrays += [pa.array(x, pa.int64()) for x in (lines, np.bincount(doc, minlength=docs), np.diff(block.off))]
+            names = ["doc_id", "k", "n_lines", "n_chunks", "n_bytes", "whole_sha256"]
+            arrays.append(pa.array(digests, pa.string()))
+            if texts:
+                arrays.append(column(block.rows, "text"))
+                names.append("whole")
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return run
+
+
 def _seed_rows(runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             doc, line, n, h1, h2 = (line_windows if runs else line_chunks)(block.data, block.off)
             m = n >= LEAST_LINES
-            ids = np.asarray(column(block.rows, "doc_id"))[doc[m]]
-            k = np.asarray(column(block.rows, "k"))[doc[m]]
-            cols = [ids, k, line[m], n[m], h1[m].view(np.int64), h2[m].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "k", "line", "n", "h1", "h2"])
+            mine = pa.array(doc[m])
+            cols = [pa.array(x[m], pa.int64()) for x in (line, n, h1.view(np.int64), h2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([column(block.rows, "doc_id").take(mine), column(block.rows, "k").take(mine), *cols], ["doc_id", "k", "line", "n", "h1", "h2"])
 
     return run
 
@@ -122,16 +147,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = bytes(raw[block.off[i] : block.off[i + 1]]).split(b"\n")
             out += [(k, j, lines[j]) for j in listed]
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        types = [pa.int64(), pa.int64(), pa.binary()]
+        types = [_KEY, pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k", "line", "bytes"])
 
 
-def _gone(doc: int, k: int, lines: list[bytes], marks: list[dict]) -> set[int]:
-    """Lines of repeated seeds of a text; the first occurrence stays, and what overlaps it in its own text."""
+def _gone(k: bytes, owner: int | None, lines: list[bytes], marks: list[dict]) -> set[int]:
+    """Lines of repeated seeds of a text in the document that owns it; for a copy, ``owner`` is None.
+
+    The first occurrence stays, and what overlaps it in its own text.
+    """
     gone: set[int] = set()
     differ = {(m["line"], m["first_k"], m["first_line"]) for m in marks if m["n"] is None}
     for m in marks:
-        if m["n"] is None or ((doc, k) == (m["first_doc"], m["first_k"]) and m["line"] < m["first_line"] + LEAST_LINES):
+        if m["n"] is None or ((owner, k) == (m["first_doc"], m["first_k"]) and m["line"] < m["first_line"] + LEAST_LINES):
             continue
         pairs = [(m["line"] + j, m["first_line"] + j) for j in range(m["n"])]
         # lines of one text are compared here, those of two were by the join
@@ -141,32 +169,28 @@ def _gone(doc: int, k: int, lines: list[bytes], marks: list[dict]) -> set[int]:
 
 
 def _cut(texts: bool):
+    """What is left of each marked text: in the document that owns it, and in copies if there are any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             raw = memoryview(block.data)
             chunk_doc, chunk_line, chunk_n, _, _ = line_chunks(block.data, block.off)
             bounds = np.searchsorted(chunk_doc, np.arange(len(block.off)))
             out = []
-            ids, ks, lists = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "marks"))
-            for i, (doc, k, marks) in enumerate(zip(ids, ks, lists, strict=True)):
+            columns = (column(block.rows, c).to_pylist() for c in ("doc_id", "k", "n", "marks"))
+            for i, (doc, k, rows, marks) in enumerate(zip(*columns, strict=True)):
                 text = bytes(raw[block.off[i] : block.off[i + 1]])
                 lines = text.split(b"\n")
-                # all of a row without an id stays
-                drop = _gone(doc, k, lines, marks) if marks and doc is not None else set()
-                kept, n_gone = text, 0
-                if drop:
-                    kept = b"\n".join(x for j, x in enumerate(lines) if j not in drop)
-                    own = slice(bounds[i], bounds[i + 1])
-                    n_gone = sum(drop.issuperset(range(a, a + n)) for a, n in zip(chunk_line[own].tolist(), chunk_n[own].tolist(), strict=True))
-                out.append((len(lines), len(lines) - len(drop), n_gone, len(text), len(kept), hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out, strict=True))
-            arrays = [column(block.rows, "doc_id"), pa.array(cols[0], pa.int64()), pa.array(np.diff(bounds), pa.int64())]
-            arrays += [pa.array(c, pa.int64()) for c in cols[1:5]] + [pa.array(cols[5], pa.string())]
-            names = ["doc_id", "n_lines", "n_chunks", "n_kept_lines", "n_removed_chunks", "n_bytes", "n_kept_bytes", "kept_sha256"]
-            if texts:
-                arrays.append(pa.array(cols[6], pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                own = slice(bounds[i], bounds[i + 1])
+                for copy in (False, True)[: 1 + (rows > 1)]:
+                    drop = _gone(k, None if copy else doc, lines, marks)
+                    kept = b"\n".join(x for j, x in enumerate(lines) if j not in drop) if drop else text
+                    n_gone = sum(drop.issuperset(range(a, a + n)) for a, n in zip(chunk_line[own].tolist(), chunk_n[own].tolist(), strict=True)) if drop else 0
+                    out.append((k, copy, len(lines) - len(drop), n_gone, len(kept), hashlib.sha256(kept).hexdigest(), kept))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = [_KEY, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            names = ["k", "copy", "n_kept_lines", "n_removed_chunks", "n_kept_bytes", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)][: 7 if texts else 6], names[: 7 if texts else 6])
 
     return run
 
@@ -177,21 +201,26 @@ def remove_repeated_chunks(docs: DataFrame, texts: bool = False, runs: bool = Fa
     With ``texts`` also ``kept``, the bytes of the kept lines joined by line feeds. Texts are UTF-8
     bytes; null counts as empty, which is one empty line. A row with a null ``doc_id`` keeps
     its text and takes nothing from others. Rows that repeat both id and text are one document
-    and get the same result; rows with one id and different texts are ordered by a hash of the
+    and get the same result; rows with one id and different texts are ordered by a digest of the
     text. Texts are read whole. Only ``doc_id`` and ``text`` are read.
 
     With ``runs`` all runs of ``LEAST_LINES`` or more lines that stand earlier are removed, not
     only whole chunks; each distinct line stays somewhere. ``n_removed_chunks`` counts the
     chunks of which no line is left.
+
+    Texts of several lines are exchanged once, by text and id, so copies of one text don't meet
+    in a task; a text is cut once for its owner and once for all its copies.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_BYTES))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k"))
-    seeds = stage_table(
-        keyed.where("doc_id is not null").mapInArrow(_seed_rows(runs), "doc_id long, k long, line long, n long, h1 long, h2 long"), "seeds"
-    )
+    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.unhex(F.md5("text")).alias("k"))
+    schema = "doc_id long, k binary, n_lines long, n_chunks long, n_bytes long, whole_sha256 string"
+    rows = stage_table(keyed.mapInArrow(_measure(texts), schema + (", whole binary" if texts else "")), "rows")
+    sums = rows.agg(F.sum("n_bytes").alias("size"), F.count("*").alias("n")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums["size"] or 0) // TEXT_BYTES))
+    # a text of one line has no seed
+    named = keyed.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit(b"\n")))
+    seeds = stage_table(named.mapInArrow(_seed_rows(runs), "doc_id long, k binary, line long, n long, h1 long, h2 long"), "seeds")
     place = F.struct("doc_id", "k", "line")
     same = ["h1", "h2"]
     repeated = (
@@ -206,14 +235,13 @@ def remove_repeated_chunks(docs: DataFrame, texts: bool = False, runs: bool = Fa
         .select("k", (F.col("line") + F.col("j")).alias("line"), "first_k", (F.col("first_line") + F.col("j")).alias("first_line")).distinct()
     )
     pairs = stage_table(pairs, "pairs")
-    owner = seeds.groupBy("k").agg(F.min("doc_id").alias("owner"))
+    groups = stage_table(owners(rows.where("n_lines > 1"), ["k"]), "owners")
+    owned = groups.select("k", F.col("owner").alias("doc_id"), "n")
     needed = pairs.select("k", "line").union(pairs.select("first_k", "first_line")).distinct()
-    wanted = needed.groupBy("k").agg(F.collect_list("line").alias("listed")).join(owner, "k").hint("shuffle_hash")
-    # the key is computed from the text, so both joins below share this exchange
-    moved = keyed.repartition(parts, "k")
-    pieces = (
-        moved.join(wanted, "k").where("coalesce(doc_id - owner, 1) = 0").select("k", "text", "listed").mapInArrow(_extract, "k long, line long, bytes binary")
-    )
+    wanted = needed.groupBy("k").agg(F.collect_list("line").alias("listed")).join(owned, "k").drop("n").hint("shuffle_hash")
+    # both joins below share this exchange
+    moved = named.repartition(parts, "k", "doc_id")
+    pieces = moved.join(wanted, ["k", "doc_id"]).select("k", "text", "listed").mapInArrow(_extract, "k binary, line long, bytes binary")
     pieces = stage_table(pieces.dropDuplicates(["k", "line"]), "pieces")
     firsts = pieces.select(F.col("k").alias("first_k"), F.col("line").alias("first_line"), F.col("bytes").alias("first_bytes"))
     # byte comparison with the first occurrence; a seed that only shares the hashes stays
@@ -222,10 +250,28 @@ def remove_repeated_chunks(docs: DataFrame, texts: bool = False, runs: bool = Fa
         .select("k", "line", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("first_doc"), "first_k", "first_line")
     )
     marks = by_text.select(*differ.columns).union(differ)
-    gone = marks.groupBy("k").agg(F.collect_list(F.struct("line", "n", "first_doc", "first_k", "first_line")).alias("marks")).hint("shuffle_hash")
-    schema = "doc_id long, n_lines long, n_chunks long, n_kept_lines long, n_removed_chunks long, n_bytes long, n_kept_bytes long, kept_sha256 string"
-    return (
-        moved.join(gone, "k", "left")
-        .select("doc_id", "k", "text", "marks")
+    marks = marks.groupBy("k").agg(F.collect_list(F.struct("line", "n", "first_doc", "first_k", "first_line")).alias("marks")).join(owned, "k").hint("shuffle_hash")
+    schema = "k binary, copy boolean, n_kept_lines long, n_removed_chunks long, n_kept_bytes long, kept_sha256 string"
+    cut = (
+        moved.join(marks, ["k", "doc_id"]).select("doc_id", "k", "n", "text", "marks")
         .mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
+        .dropDuplicates(["k", "copy"])
     )
+    # without texts the verdicts are narrow, so those on copies in hot groups can be broadcast
+    cut = cut if texts else stage_table(cut, "cut")
+    verdicts = cut.join(groups, "k")
+    of_copies = verdicts.where("copy").drop("copy")
+    copies, others = split_hot_copies(rows, of_copies.limit(0) if texts else of_copies, ["k"], sums["n"])
+    owner = groups.select("k", "owner")
+    is_copy = F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))
+    tagged = others.join(cut.select("k").distinct().join(owner, "k"), "k", "left").withColumn("copy", is_copy)
+    judged = tagged.join(cut, ["k", "copy"], "left").drop("owner", "copy").unionByName(copies.drop("owner", "n"))
+    # a row without an id keeps all of its text, as does one without a mark
+    marked = F.col("doc_id").isNotNull() & F.col("n_kept_lines").isNotNull()
+    choose = lambda if_cut, else_: F.when(marked, F.col(if_cut)).otherwise(else_)
+    result = [
+        "doc_id", "n_lines", "n_chunks", choose("n_kept_lines", F.col("n_lines")).alias("n_kept_lines"),
+        choose("n_removed_chunks", F.lit(0).cast("long")).alias("n_removed_chunks"), "n_bytes",
+        choose("n_kept_bytes", F.col("n_bytes")).alias("n_kept_bytes"), choose("kept_sha256", F.col("whole_sha256")).alias("kept_sha256"),
+    ]
+    return judged.select(*result, *([choose("kept", F.col("whole")).alias("kept")] if texts else []))

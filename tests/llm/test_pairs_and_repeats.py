@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rillmark.llm import blocks, partenum, suffix_dedup
+from rillmark.llm import blocks, copies, partenum, suffix_dedup
 from rillmark.llm.components import connected_components
 from rillmark.llm.line_chunks import line_chunks, remove_repeated_chunks
 from rillmark.llm.partenum import Signer, jaccard_components, linked_pairs
@@ -212,12 +213,10 @@ hash_of: dict[str, int] = {}
 
 def test_all_repeated_runs_of_lines_go(spark, wide, rows):
     """Recall is held against runs of lines, not chunks: nothing that stands earlier may be left."""
-    from pyspark.sql import functions as F
-
     extra = [(900, "a\nb\nc\nd"), (901, "x1\na\nb\nx2"), (902, "y1\nb\nc\ny2\na\nb"), (903, "z\nz\nz"), (904, "q\nq\nq\nq\nq"), (905, "d\ne"), (905, "c\nd\nf")]
     own = [(r[0], r[1]) for r in rows] + extra
     df = wide.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    hash_of.update({r.t: r.k for r in df.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("k", F.xxhash64(F.col("t").cast("binary"))).collect()})
+    hash_of.update({r.t: r.k for r in df.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("k", F.unhex(F.md5(F.col("t").cast("binary")))).collect()})
     want, in_runs = kept_lines(own)
     got = remove_repeated_chunks(df, texts=True, runs=True).collect()
     assert Counter((r.doc_id, bytes(r.kept).decode()) for r in got) == want
@@ -244,12 +243,28 @@ def _one_hash(windows):
 
         for block in blocks.blocks(batches):
             doc, line, n, h1, _ = windows(block.data, block.off)
-            ids, k = (np.asarray(blocks.column(block.rows, c))[doc] for c in ("doc_id", "k"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, k, line, n, 0 * line, 0 * line)], ["doc_id", "k", "line", "n", "h1", "h2"])
+            ids, k = (blocks.column(block.rows, c).take(pa.array(doc)) for c in ("doc_id", "k"))
+            yield pa.RecordBatch.from_arrays([ids, k, *(pa.array(c, pa.int64()) for c in (line, n, 0 * line, 0 * line))], ["doc_id", "k", "line", "n", "h1", "h2"])
 
     return run
 
 
+@pytest.mark.parametrize("hot", [copies.HOT_ROWS, 0])
+def test_ids_at_both_ends_and_copies_in_hot_groups(spark, docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(copies, "HOT_ROWS", hot)
+    monkeypatch.setattr(copies, "HOT_GROUPS", 10_000 if hot else 1 << 40)
+    text = "\n".join(f"the line number {i} of a text that has copies" for i in range(6))
+    ends = [(-(2**63), text), (-5, text), (2**63 - 1, text), (2**63 - 1, "x\n" + text), (-5, None), (2**63 - 2, "")]
+    own = [(r[0], r[1]) for r in rows] + ends
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(ends, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect())
+    assert got == Counter((d, gone, sha) for d, _, gone, _, sha, _ in removed(own, 50))
+    hash_of.update({r.t: r.k for r in df.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("k", F.unhex(F.md5(F.col("t").cast("binary")))).collect()})
+    want, _ = kept_lines(own)
+    lines = Counter((r.doc_id, r.n_kept_bytes, r.kept_sha256) for r in remove_repeated_chunks(df, runs=True).collect())
+    assert lines == Counter({(d, len(t.encode()), hashlib.sha256(t.encode()).hexdigest()): n for (d, t), n in want.items()})
+
+
 def test_no_rows(empty):
     assert jaccard_components(empty).count() == 0
     assert remove_repeats(empty).count() == 0
