@@ -29,6 +29,9 @@ CLASS_BOUND = 0.25
 WORD_BOUND = 0.15
 #: Added to the bound on the word distance, divided by the root of the number of words.
 SHORT_ALLOWANCE = 2.4
+#: Bytes of text whose words one bucket counts, and words that it holds unmerged at least.
+BUCKET_BYTES = 48_000_000
+MERGE_WORDS = 1_000_000
 REPEAT_WINDOW = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -92,7 +95,7 @@ def _count(buckets: int):
                 first = pa.array([classes.pop(lang).tolist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([0, *full.tolist()], pa.int32()), pa.array([lang] * (1 + len(full)), pa.string()),
+                        pa.array([*(full[:1].tolist() or [0]), *full.tolist()], pa.int32()), pa.array([lang] * (1 + len(full)), pa.string()),
                         pa.array([None, *blobs], pa.binary()), pa.concat_arrays([first, pa.nulls(len(full), first.type)]),
                     ],
                     ["bucket", "lang", "counts", "classes"],
@@ -118,13 +121,23 @@ def _count(buckets: int):
 
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by language in a bucket. Words below the common share of the bucket alone can't be common."""
+    """Sums by language in a bucket. Words below the common share of the bucket alone can't be common.
+
+    Parts are merged whenever they outgrow what is merged already, so a task holds about twice
+    the distinct words of its bucket.
+    """
     held: dict[tuple[int, str], list] = {}
+    loose: dict[tuple[int, str], int] = {}
     classes: dict[str, np.ndarray] = {}
     for batch in batches:
         for b, lang, blob, cls in zip(*(column(batch, c).to_pylist() for c in ("bucket", "lang", "counts", "classes")), strict=True):
             if blob is not None:
-                held.setdefault((b, lang), []).append(unpack(blob, U64, np.int64))
+                parts = held.setdefault((b, lang), [])
+                parts.append(unpack(blob, U64, np.int64))
+                loose[b, lang] = loose.get((b, lang), 0) + len(parts[-1][0])
+                if loose[b, lang] > max(MERGE_WORDS, len(parts[0][0])):
+                    parts[:] = [list(_merge(*(np.concatenate([p[i] for p in parts]) for i in (0, 1))))]
+                    loose[b, lang] = 0
             if cls is not None:
                 classes[lang] = classes.get(lang, 0) + np.array(cls)
     out = [(lang, None, 0, c.tolist()) for lang, c in classes.items()]
@@ -145,11 +158,12 @@ def references(docs: DataFrame) -> References:
     What reaches the driver is the common words, at most ``1 / COMMON_SHARE`` a language, and
     a row of class counts a language.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.where("lang is not null and text is not null").select("lang", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     counted = stage_table(
-        docs.where("lang is not null and text is not null").select("lang", "text")
-        .mapInArrow(_count(buckets), "bucket int, lang string, counts binary, classes array<long>")
-        .repartition(buckets, "bucket")
+        docs.mapInArrow(_count(buckets), "bucket int, lang string, counts binary, classes array<long>")
+        .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_sum_words, "lang string, word long, count long, classes array<long>"),
         "reference-counts",
     )
