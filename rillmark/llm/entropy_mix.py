@@ -1,12 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
 Over the token mass ``m_d = size_d * rate_d`` the mix minimises its relative entropy to the
-corpus, subject to one token constraint for each cell of each constraint family (a family
-is one column, such as the source). The dual is convex and smooth, the optimal rates are
-exponentially tilted, ``rate_d = exp(sum of the multipliers of the cells d is in)``, and the
-Newton step needs only token sums: its gradient and Hessian are aggregated over the table
-of distinct cell combinations, which Spark builds with map-side partial sums. Rates are
-then rounded to whole copies, from the largest documents to the smallest.
+corpus, subject to one token constraint for each source. The dual is convex and smooth, and
+the optimal rates are exponentially tilted, ``rate_d = exp(multiplier of the source of d)``.
+As a document is in one source only, the Hessian of the dual is diagonal: a Newton step needs
+only token sums by source, and converges to ``log(target / tokens)``. Rates are then rounded to
+whole copies, from the largest documents to the smallest; what a size class took too much
+or too little tilts the rates of the smaller ones anew.
 """
 
 from __future__ import annotations
@@ -180,7 +180,8 @@ def _round_to_copies(rows: DataFrame) -> DataFrame:
         .select("s.source", "s.class", "s.run", "s.start", "c.n", "c.given")
     )
     within = Window.partitionBy(*of_class, "run").orderBy("draw", "doc_id", "size")
-    upto = lambda place: F.expr(f"(2 * ({place}) * b.given + b.n) div (2 * b.n)")
+    # in decimals: the product of two counts of a large class overflows a long
+    upto = lambda place: F.expr(f"(2 * cast({place} as decimal(20, 0)) * cast(b.given as decimal(18, 0)) + b.n) div cast(2 * b.n as decimal(20, 0))")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.run") == F.col("b.run"))
     return (
         rows.withColumn("at", F.row_number().over(within))
