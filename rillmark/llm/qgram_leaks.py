@@ -13,6 +13,7 @@ Texts are compared with A-Z lower-cased and each run of separators as one space.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.blocks import LOWER, SEPARATOR, U64, blocks, column, prefix_hash, window_hash
+from rillmark.llm.scratch import stage_table
 
 Q = 10
 WINDOW = 80
@@ -30,6 +32,8 @@ STRIDE = 20
 EDIT_PERCENT = 5
 #: Benchmark characters that one index may hold; a larger benchmark is searched index by index.
 INDEX_CHARS = 4_000_000
+#: Pairs of a hit and a window that are expanded at once.
+SLICE = 2_000_000
 #: Bits of the table that rules out most q-grams of a document at once.
 TABLE_BITS = 22
 
@@ -129,6 +133,41 @@ def banded_distance(pattern: bytes, text: bytes, k: int) -> tuple[int, int] | No
     return (best, len(pattern) - k - 1 + row.index(best)) if best <= k else None
 
 
+def _bands(hit: np.ndarray, low: np.ndarray, many: np.ndarray, doc: np.ndarray, at: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Document row, window, half band and its width, of the bands that reach their bound.
+
+    Hits, in the order of their places, are expanded by the windows that hold them in slices of
+    about ``SLICE`` pairs. Between slices only counts of the bands that later hits may still
+    fall into are kept, so a phrase that stands everywhere doesn't fill the memory.
+    """
+    lengths = np.array([len(t) for t in index.texts])
+    widths, bounds = lengths * EDIT_PERCENT // 100 + 1, lengths + 1 - Q * (lengths * EDIT_PERCENT // 100 + 1)
+    before = np.r_[0, np.cumsum(many)]
+    held = [np.empty(0, np.int64)] * 4
+    start = 0
+    while start < len(hit):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + SLICE, "right")) - 1)
+        own = slice(start, stop)
+        each = np.repeat(np.arange(start, stop), many[own])
+        entry = np.repeat(low[own] - (before[own] - before[start]), many[own]) + np.arange(len(each))
+        window = index.window[entry].astype(np.int64)
+        # diagonals can lie before the document: shift them to be positive
+        half = (hit[each] - index.place[entry] - at[doc[each]] + WINDOW) // widths[window]
+        d, w, h, n = (np.concatenate(x) for x in zip(held, (doc[each], window, half, np.ones(len(each), np.int64)), strict=True))
+        order = np.lexsort((h, w, d))
+        d, w, h, n = d[order], w[order], h[order], n[order]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
+        d, w, h, n = d[first], w[first], h[first], np.add.reduceat(n, first)
+        # a band is a half and the one after it; a band may also begin with the half before
+        follows = np.r_[(d[1:] == d[:-1]) & (w[1:] == w[:-1]) & (h[1:] == h[:-1] + 1), False]
+        band = n + np.where(follows, np.r_[n[1:], 0], 0)
+        closed = np.ones(len(d), bool) if stop == len(hit) else (h + 2) * widths[w] + at[d] <= hit[stop]
+        for i in np.flatnonzero(closed & (band >= bounds[w])):
+            yield int(d[i]), int(w[i]), int(h[i]), int(widths[w[i]])
+        held = [x[~closed] for x in (d, w, h, n)]
+        start = stop
+
+
 def find_leaks(data: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """Document row, window, begin and end in its bytes, edits: one for each verified window."""
     text, at, back = normalise(data, off)
@@ -145,27 +184,10 @@ def find_leaks(data: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[in
     hit, low, many, doc = hit[inside], low[inside], many[inside], doc[inside]
     if not len(hit):
         return []
-    each = np.repeat(np.arange(len(hit)), many)
-    entry = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(int(many.sum()))
-    window, diagonal, doc = index.window[entry].astype(np.int64), hit[each] - index.place[entry], doc[each]
-    lengths = np.array([len(t) for t in index.texts])
-    wide = (lengths * EDIT_PERCENT // 100 + 1)[window]
-    # diagonals can lie before the document: shift them to be positive
-    half = (diagonal - at[doc] + WINDOW) // wide
-    least = (lengths + 1 - Q * (lengths * EDIT_PERCENT // 100 + 1))[window]
-    order = np.lexsort((half, window, doc))
-    doc, window, half, least, wide = doc[order], window[order], half[order], least[order], wide[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (window[1:] != window[:-1]) | (half[1:] != half[:-1])]
-    first = np.flatnonzero(new)
-    count = np.diff(np.r_[first, len(doc)])
-    doc, window, half, least, wide = doc[first], window[first], half[first], least[first], wide[first]
-    # a band is a half and the one after it; a band may also begin with the half before
-    follows = np.r_[(doc[1:] == doc[:-1]) & (window[1:] == window[:-1]) & (half[1:] == half[:-1] + 1), False]
-    band = count + np.where(follows, np.r_[count[1:], 0], 0)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i in np.flatnonzero(band >= least):
-        d, w, k = int(doc[i]), int(window[i]), int(wide[i]) - 1
-        begin = int(half[i] * wide[i]) - WINDOW + int(at[d])
+    for d, w, half, wide in _bands(hit, low, many, doc, at, index):
+        k = wide - 1
+        begin = half * wide - WINDOW + int(at[d])
         # pieces start within the band's diagonals, at most k edits off
         lo = max(int(at[d]), begin - k)
         hi = min(int(at[d + 1]), begin + 2 * (k + 1) + len(index.texts[w]) + 2 * k)
@@ -210,30 +232,29 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     those under ``Q`` bytes match nothing. Repeated rows give one row. Texts are read whole. Further columns
     aren't read.
 
-    The benchmark is broadcast in indexes of ``INDEX_CHARS`` characters at most; each is
-    searched for in all documents, so nothing that grows is held at once.
+    The benchmark is broadcast in indexes of ``INDEX_CHARS`` characters at most, one after the
+    other: each is searched for in all documents, what it found is written, and it is
+    given back before the next is made.
     """
-    return _passages(docs, _indexes(benchmark))
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return _passages(docs, [stage_table(docs.mapInArrow(_search(index), _FOUND), "found") for index in _indexes(benchmark)])
+
 
+_FOUND = "doc_id long, item_id long, item_begin long, item_length long, begin long, end long, edits long"
 
-def _indexes(benchmark: DataFrame) -> list[Broadcast]:
+
+def _indexes(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Indexes of the benchmark, of which only the last given one is held."""
     items = benchmark.where("item_id is not null and length(text) > 0").select("item_id", "text").distinct()
-    made = (make_index(part) for part in _parts(items))
-    return [benchmark.sparkSession.sparkContext.broadcast(index) for index in made if index is not None]
+    for index in map(make_index, _parts(items)):
+        if index is not None:
+            shared = benchmark.sparkSession.sparkContext.broadcast(index)
+            yield shared
+            shared.destroy()
 
 
-def _passages(docs: DataFrame, indexes: list[Broadcast]) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = None
-    for index in indexes:
-        rows = docs.mapInArrow(
-            _search(index),
-            "doc_id long, item_id long, item_begin long, item_length long, begin long, end long, edits long",
-        )
-        found = rows if found is None else found.union(rows)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, windows long, begin long, end long, edits long")
+def _passages(docs: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    found = reduce(DataFrame.union, tables, docs.sparkSession.createDataFrame([], _FOUND))
     return found.groupBy("doc_id", "item_id").agg(
         F.count_distinct("item_begin").alias("windows"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("edits").alias("edits")
     )
@@ -268,13 +289,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, null_ids: bool = Fa
     Rows with a null text are kept. The ids of leaking documents are joined, not collected. Rows
     with a null id are kept too, or with ``null_ids`` each is searched and decided by its own text.
     """
-    indexes = _indexes(benchmark)
-    leaking = _passages(docs, indexes).select(F.col("doc_id").alias("_leaking_id")).distinct()
-    named = docs.where("doc_id is not null") if null_ids else docs
-    kept = named.join(leaking, docs["doc_id"] == F.col("_leaking_id"), "left_anti")
-    if not null_ids:
-        return kept
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     nameless = docs.where("doc_id is null")
-    for index in indexes:
-        nameless = nameless.mapInArrow(_clean(index), docs.schema)
-    return kept.union(nameless)
+    null_ids = null_ids and not nameless.isEmpty()
+    tables = []
+    for index in _indexes(benchmark):
+        tables.append(stage_table(named.mapInArrow(_search(index), _FOUND), "found"))
+        if null_ids:
+            nameless = stage_table(nameless.mapInArrow(_clean(index), docs.schema), "nameless")
+    leaking = _passages(docs, tables).select("doc_id").distinct()
+    kept = (docs.where("doc_id is not null") if null_ids else docs).join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    return kept.union(nameless) if null_ids else kept

@@ -312,6 +312,55 @@ def test_leaks_index_by_index_and_without_rows(spark, monkeypatch):
     assert qgram_leaks.leaked_passages(docs.where("false"), items).count() == 0
 
 
+def edited_piece(pattern, text):
+    """Least edits between ``pattern`` and any piece of ``text``."""
+    row = np.zeros(len(text) + 1, int)
+    letters = np.frombuffer(text, np.uint8)
+    for i, c in enumerate(pattern, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (letters != c))
+        new = np.r_[i, best]
+        # insertions run to the right
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row.min())
+
+
+def folded(text):
+    return re.sub(r"[\x20\x09-\x0d]+", " ", (text or "").translate({c: c + 32 for c in range(65, 91)})).encode()
+
+
+@pytest.mark.parametrize("piece", [qgram_leaks.SLICE, 40])
+def test_leaks_equal_a_full_alignment_of_all_windows(spark, monkeypatch, piece):
+    """A pair leaks if some window of the item has a piece of the document within its edits: every pair, full distances."""
+    monkeypatch.setattr(qgram_leaks, "SLICE", piece)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(rng.randrange(3, 60))) for i in range(12)] + [(50, "ab " * 60)]
+    docs = []
+    for i in range(60):
+        base = rng.choice(items)[1]
+        at = rng.randrange(len(base))
+        part = list((base + " " + base)[at : at + rng.randrange(60, 300)])
+        for _ in range(rng.randrange(0, 6)):
+            j = rng.randrange(len(part) or 1)
+            part[j : j + rng.randrange(2)] = rng.choices("xyzé ", k=rng.randrange(2))
+        docs.append((i, prose(rng.randrange(0, 30)) + rng.choice([" ", "\n\t ", ""]) + "".join(part).replace("a", "A") + " " + prose(rng.randrange(0, 30))))
+    docs += [(70, "ab " * 400), (71, "ba ab " * 50)]
+    want = set()
+    for item, t in items:
+        flat = folded(t).strip()
+        windows = {flat[max(0, min(b, len(flat) - 80)) :][:80] for b in range(0, max(1, len(flat) - 60), 20)} if len(flat) > 80 else {flat}
+        for d, text in docs:
+            if any(len(w) >= 10 and edited_piece(w, folded(text)) <= len(w) * 5 // 100 for w in windows):
+                want.add((d, item))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in qgram_leaks.leaked_passages(df.selectExpr("*", "1 item_id", "2 begin", "3 _leaking_id"), bench).collect()}
+    assert got == want and 20 < len(want) < 200
+    clean = df.selectExpr("*", "1 item_id", "2 begin", "3 _leaking_id")
+    kept = qgram_leaks.drop_contaminated(clean, bench)
+    assert kept.columns == clean.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_the_bound_is_positive_for_all_windows():
     assert all(qgram_leaks._least(n) > 0 for n in range(qgram_leaks.Q, qgram_leaks.WINDOW + 1))
     assert pa is not None
