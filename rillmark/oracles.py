@@ -197,6 +197,10 @@ ORACLES: dict[str, str] = {
     "geo_range_join": EV + """, n AS (SELECT 655360 + user_id // 256 AS b FROM ev)
       SELECT CASE WHEN b % 5 = 4 THEN 'XX' ELSE 'C' || CAST(b % 3 AS VARCHAR) END AS geo_country,
         CASE WHEN b % 5 = 4 THEN 'Unknown' ELSE 'R' || CAST(b % 7 AS VARCHAR) END AS region, count(*) AS requests FROM n GROUP BY ALL""",
+    "geo_networks": EV + """, n AS (SELECT 655360 + user_id // 256 AS b FROM ev)
+      SELECT family, CASE WHEN b % 5 = 4 THEN CASE family WHEN 4 THEN 'C8' ELSE 'C9' END ELSE 'C' || CAST(b % 3 AS VARCHAR) END AS geo_country,
+        CASE WHEN b % 5 = 4 THEN CASE family WHEN 4 THEN 'R8' ELSE 'R9' END ELSE 'R' || CAST(b % 7 AS VARCHAR) END AS region, count(*) AS requests
+      FROM n, (SELECT unnest([4, 6]) AS family) GROUP BY ALL""",
     "event_time_range": EV + "SELECT stream_id, epoch_us(min(t)) // 1000 AS first_ms, epoch_us(max(t)) // 1000 AS last_ms, count(*) AS events FROM ev GROUP BY ALL",
     "sessions_batch": EV + f""", b AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > INTERVAL {GAP} SECOND THEN 1 ELSE 0 END AS b
         FROM ev WINDOW w AS (PARTITION BY stream_id, client_ip ORDER BY t)),
@@ -242,3 +246,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN b.value IS NULL THEN 'missing' WHEN a.value IS NULL THEN 'extra' WHEN abs(a.value - b.value) > 0.01 THEN 'differs' ELSE 'same' END AS status
       FROM a FULL JOIN b ON a.stream = b.stream AND a.cdn_id = b.cdn_id AND a.cache_status = b.cache_status AND a.pop = b.pop""",
 }
+ORACLES |= {
+    "gzip_logs": f"SELECT * EXCLUDE (ingest_seq) FROM ({ORACLES['parse_ndjson']})",
+    "snapshot_round_trip": f"SELECT * REPLACE (first_ms // 1000 * 1000 AS first_ms, last_ms // 1000 * 1000 AS last_ms) FROM ({ORACLES['session_state']})",
+    "sample_sink": ORACLES["sample_render"],
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from rillmark.operators import compare, flushes, sessions, viewers, watch
 from rillmark.operators.metrics import STANDARD, Agg, MetricSpec, label_names, minute_metrics
 from rillmark.plans import promql
 from rillmark.plans.samples import recent, samples
-from rillmark.sources import fixture, geo, logs
+from rillmark.sources import fixture, geo, logs, remote_write, snapshot
+from rillmark.workdir import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 GAP, WINDOW, UNIQUE = 120, 7200, 3600
@@ -46,19 +48,29 @@ def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_events(spark, sf_dir))
 
 
-def parse_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through log lines: events written as JSON text, parsed again."""
-    source = _events(spark, sf_dir)
+def _json_lines(source: DataFrame) -> DataFrame:
     record = F.struct(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("request_path").alias("clientRequestPath"),
         F.col("resource_id").alias("resourceID"), F.col("cache_status").alias("cacheStatus"), F.col("response_bytes").alias("responseBytes"),
         F.col("time_to_first_byte_ms").alias("timeToFirstByteMs"), F.col("response_status").alias("responseStatus"),
         F.col("client_country").alias("clientCountry"), F.col("location_id").alias("locationID"), F.col("client_ip").alias("clientIP"),
     )
-    lines = source.select(F.to_json(record).alias("value"), F.lit("memory").alias("file"), F.col("ingest_seq").alias("line"))
+    return source.select(F.to_json(record).alias("value"), F.lit("memory").alias("file"), F.col("ingest_seq").alias("line"))
+
+
+def parse_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through log lines: events written as JSON text, parsed again."""
+    lines = _json_lines(_events(spark, sf_dir))
     return _plain(logs.events(logs.parsed(lines), F.col("line"))).drop("device_type", "ua_unmatched")
 
 
+def gzip_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through compressed files of lines, listed and read again."""
+    path = work_path(spark, "logs")
+    _json_lines(_events(spark, sf_dir)).select("value").write.option("compression", "gzip").text(path)
+    return _plain(logs.read_events(spark, path)).drop("ingest_seq", "device_type", "ua_unmatched")
+
+
 def device_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("device_type").agg(F.count("*").alias("requests"))
 
@@ -117,6 +129,36 @@ def geo_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.with_region_by_range(events, ranges).groupBy("geo_country", "region").agg(F.count("*").alias("requests"))
 
 
+def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both families by their longest network: each /24 (or /120) but every fifth, and one large network around all."""
+    events = _events(spark, sf_dir).select("client_ip")
+    part = lambda i: F.get(F.split("client_ip", r"\."), i).cast("int")
+    six = events.select(F.concat(F.lit("2001:DB8::A00:"), F.hex(part(2) * 256 + part(3))).alias("client_ip"))
+    low = events.select(part(2).alias("third")).distinct().withColumn("b", F.col("third") + 655360).where("b % 5 <> 4")
+    place = [F.concat(F.lit("C"), (F.col("b") % 3).cast("string")).alias("country"), F.concat(F.lit("R"), (F.col("b") % 7).cast("string")).alias("region")]
+    own = lambda network: low.select(network.alias("network"), *place)
+    networks = own(F.concat(F.lit("10.0."), F.col("third"), F.lit(".0/24"))).union(own(F.concat(F.lit("2001:db8::a00:"), F.hex(F.col("third") * 256), F.lit("/120"))))
+    networks = networks.union(spark.createDataFrame([("10.0.0.0/8", "C8", "R8"), ("2001:db8::/33", "C9", "R9"), ("2001:db8:8000::/33", "C0", "R0"), ("none", "X", "X")], networks.schema))
+    found = geo.with_region_by_network(events.union(six), networks)
+    family = F.when(F.contains("client_ip", F.lit(":")), 6).otherwise(4)
+    return found.groupBy(family.alias("family"), "geo_country", "region").agg(F.count("*").alias("requests"))
+
+
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session state written as a snapshot, in whole seconds, and read again."""
+    state, closed, _ = _one_poll(spark, sf_dir)
+    folder = tempfile.mkdtemp(prefix="rillmark-")
+    snapshot.save(state, watch.watch_totals(closed), f"{folder}/state.json.gz", WINDOW, GAP)
+    return _flat_state(snapshot.load(spark, f"file://{folder}/state.json.gz")[0])
+
+
+def sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered samples written as lines of JSON and read again."""
+    path = work_path(spark, "samples")
+    remote_write.write_json(sample_render(spark, sf_dir), path)
+    return spark.read.schema("series string, timestamp_ms long, value double").json(path)
+
+
 def _session_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = _events(spark, sf_dir)
     return events, sessions.session_events(events, fixture.geo_dimension(spark, sf_dir))
@@ -325,6 +367,10 @@ QUERIES: dict[str, Query] = {
     "minute_viewers": minute_viewers,
     "geo_join": geo_join,
     "geo_range_join": geo_range_join,
+    "geo_networks": geo_networks,
+    "gzip_logs": gzip_logs,
+    "snapshot_round_trip": snapshot_round_trip,
+    "sample_sink": sample_sink,
     "event_time_range": event_time_range,
     "sessions_batch": sessions_batch,
     "session_state": session_state,

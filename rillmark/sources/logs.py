@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +31,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def hour_glob(prefix: str, hours: int, now: datetime | None = None) -> str:
+    """One path pattern for the folders of ``hour_prefixes``, so that a poll lists no others."""
+    root = prefix.rstrip("/")
+    return f"{root}/{{{','.join(p[len(root) + 1 :] for p in hour_prefixes(root, hours, now))}}}"
+
+
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None, lookback_hours: int = 0) -> DataFrame:
-    """A stream of the lines of new files, without line ids, which only a batch can give.
+    """A stream of the lines of new files, without line ids, which only a batch can give. ``path`` may be a pattern.
 
     ``clean`` may be ``delete`` or ``archive`` once a file was processed. With ``lookback_hours``
     files that are older than so long before the newest one are left.
@@ -102,6 +108,17 @@ def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return events(parsed(read_lines(spark, paths)), F.col("line"), keep=("file", "line"))
 
 
+def from_objects(spark: SparkSession, rows: Iterable[Mapping | object]) -> DataFrame:
+    """Events that a program made itself, as mappings or objects with the fields of ``schema.EVENT``.
+
+    Missing fields are null, but for the minute and its key, which follow from the stamp.
+    """
+    field = lambda row, name: row.get(name) if isinstance(row, Mapping) else getattr(row, name, None)
+    given = spark.createDataFrame([tuple(field(r, f.name) for f in schema.EVENT) for r in rows], schema.EVENT)
+    t = F.col("timestamp")
+    return given.withColumn("minute", F.coalesce("minute", times.minute(t))).withColumn("minute_key", F.coalesce("minute_key", times.minute_key(t)))
+
+
 def file_report(lines: DataFrame) -> DataFrame:
     """Lines and events of each file."""
     ok = parsed(lines)

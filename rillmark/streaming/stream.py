@@ -2,7 +2,9 @@
 
 State is a set of Parquet tables with one folder for each batch id. A batch reads the folders
 of the batch before it and writes its own, so a batch that runs again after a failure gives
-the same state. Samples go to a sink function; a repeated batch sends the same series
+the same state; older folders are removed. If the settings name a session snapshot, a stream
+without a state of its own starts from it, and it is written again after polls, once in the
+settings' interval. Samples go to a sink function; a repeated batch sends the same series
 with the same stamps.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from rillmark.config import Settings
 from rillmark.operators import flushes, sessions, viewers, watch
 from rillmark.operators.metrics import STANDARD, label_names, minute_metrics
 from rillmark.plans.samples import samples
-from rillmark.sources import logs
+from rillmark.sources import logs, snapshot
 
 Sink = Callable[[DataFrame, int], None]
 _DIMENSIONS = ["stream", "device_type", "country", "track", "region"]
@@ -38,6 +41,8 @@ class EdgeLogStream:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.state_dir, self.sink = spark, state_dir.rstrip("/"), sink
         self.settings, self.geo, self.clock = settings or Settings(), geo, clock
+        self._saved: float | None = None
+        self._totals = None  # schema of the watch totals
 
     def start(self, path: str, checkpoint: str, trigger: dict | None = None, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None, lookback_hours: int = 0) -> StreamingQuery:
         lines = logs.stream_lines(self.spark, path, files_per_batch, clean, archive, lookback_hours)
@@ -54,9 +59,36 @@ class EdgeLogStream:
         ids = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(root)] if fs.exists(root) else []
         done = [i for i in ids if i < batch and fs.exists(fs_path(f"{self._path(table, i)}/_SUCCESS"))]
         if not done:
-            return self.spark.createDataFrame([], shape)
+            seed = self._seed(table)
+            return self.spark.createDataFrame([], shape) if seed is None else seed
         return self.spark.read.schema(shape).parquet(self._path(table, max(done)))
 
+    def _seed(self, table: str) -> DataFrame | None:
+        """State of the snapshot that the settings name, for a stream without a batch of its own."""
+        path = self.settings.session_state_path
+        if table not in ("sessions", "watch") or not path or not Path(path).exists():
+            return None
+        state, totals = snapshot.load(self.spark, path)
+        return state if table == "sessions" else totals
+
+    def _save(self, batch: int) -> None:
+        """Write the snapshot that the settings name, at most once in their interval."""
+        s, now = self.settings, time.monotonic()
+        if not s.session_state_path or (self._saved is not None and now - self._saved < s.session_state_interval_seconds):
+            return
+        snapshot.save(self.state("sessions", batch), self.state("watch", batch, self._totals), s.session_state_path, s.session_window_seconds, s.session_gap_seconds)
+        self._saved = now
+
+    def _forget(self, batch: int) -> None:
+        """Remove what no batch can ask for any more: all but this batch and the one before it."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in ("clock", "flushes", "sessions", "watch"):
+            root = fs_path(f"{self.state_dir}/{table}")
+            fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for f in fs.listStatus(root) if fs.exists(root) else []:
+                if int(f.getPath().getName().partition("=")[2]) < batch - 1:
+                    fs.delete(f.getPath(), True)
+
     def _keep(self, df: DataFrame, table: str, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self._path(table, batch))
         return self.spark.read.schema(df.schema).parquet(self._path(table, batch))
@@ -85,6 +117,8 @@ class EdgeLogStream:
             parts = [self._flushed(parsed, batch, now_ms), self._gauges(parsed, batch, ref, ref_micros, now_ms)]
             parts += self._reports(lines, parsed, ref_micros, began)
             self.sink(reduce(DataFrame.unionByName, parts), batch)
+            self._save(batch)
+            self._forget(batch)
         finally:
             parsed.unpersist()
 
@@ -113,6 +147,7 @@ class EdgeLogStream:
         state, closed = sessions.advance(before, sessions.session_events(events, self.geo), ref, s.session_gap_seconds, s.session_window_seconds)
         state = self._keep(state, "sessions", batch)
         fresh = watch.watch_totals(closed)
+        self._totals = fresh.schema
         totals = self._keep(watch.add_totals(self._before("watch", batch, fresh.schema), fresh), "watch", batch)
         at = ref_micros // 60_000_000 * 60_000 + s.startup_offset_ms
         unique = sessions.unique_gauges(state, ref, s.unique_window_seconds).withColumn("window", F.lit(s.window_label))

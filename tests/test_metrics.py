@@ -1,13 +1,13 @@
 from __future__ import annotations
 
-from helpers import line, parsed, values
+from helpers import T0, line, parsed, values
 from pyspark.sql import functions as F
 
 from rillmark.operators.compare import compare_series
 from rillmark.operators.flushes import batch_offsets, next_offsets, split_first_window, unmatched_agents, unmatched_summary
 from rillmark.operators.metrics import STANDARD, Agg, MetricSpec, minute_metrics
 from rillmark.operators.viewers import minute_viewers
-from rillmark.sources import geo
+from rillmark.sources import geo, logs
 
 GEO = "client_ip string, country string, region string"
 
@@ -77,6 +77,34 @@ def test_geo_ranges(spark):
     assert got == {"10.0.0.5": ("AA", "North"), "10.1.255.255": ("AA", "North"), "10.2.0.0": ("BB", "Unknown"), "192.168.0.1": ("XX", "Unknown"), "no address": ("XX", "Unknown")}
 
 
+def test_networks_of_both_families(spark, tmp_path):
+    (tmp_path / "nets.csv").write_text("net,code,area\n10.0.0.0/8,AA,North\n10.1.0.0/17,BB,\n10.1.2.3,CC,One\n2001:db8::/32,DD,Six\n2001:DB8:0:8::/61,EE,Seven\nbad/8,X,X\n10.0.0.0/99,X,X\n::/0,ZZ,All\n")
+    networks = geo.read_networks(spark, f"file://{tmp_path}/nets.csv", "net", "code", "area")
+    want = {
+        "10.0.0.5": ("AA", "North"), "10.1.127.255": ("BB", "Unknown"), "10.1.128.0": ("AA", "North"), "10.1.2.3": ("CC", "One"), "11.0.0.1": ("XX", "Unknown"),
+        "::ffff:10.1.2.3": ("CC", "One"), "2001:db8::1": ("DD", "Six"), "2001:db8:0:f:1:2:3:4": ("EE", "Seven"), "2001:db8:0:10::": ("DD", "Six"), "fe80::1": ("ZZ", "All"),
+        "::": ("ZZ", "All"), "1:2:3:4:5:6:7:8:9": ("XX", "Unknown"), "12345::": ("XX", "Unknown"), "300.1.1.1": ("XX", "Unknown"), "": ("XX", "Unknown"),
+    }
+    events = spark.createDataFrame([(ip,) for ip in want] + [(None,)], "client_ip string")
+    got = {r.client_ip: (r.geo_country, r.region) for r in geo.with_region_by_network(events, networks).collect()}
+    assert got == want | {None: ("XX", "Unknown")}
+    assert {r.region for r in geo.with_region_by_network(events, networks.where("false")).collect()} == {"Unknown"}
+
+
+def test_events_from_objects(spark):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Row:
+        timestamp: object
+        stream_id: str
+        response_bytes: int
+
+    got = logs.from_objects(spark, [Row(T0, "ab", 5), {"timestamp": T0, "stream_id": "cd", "minute_key": "own"}]).collect()
+    assert [(r.stream_id, r.response_bytes, r.minute_key) for r in got][0][:2] == ("ab", 5) and got[0].minute_key and got[1].minute_key == "own"
+    assert got[0].minute == got[1].minute and logs.from_objects(spark, []).count() == 0
+
+
 def test_offsets_by_flush(spark):
     rows = spark.createDataFrame([(1, "2026-02-03 12:00:00"), (2, "2026-02-03 12:00:00"), (2, "2026-02-03 12:01:00"), (5, "2026-02-03 12:00:00")], "flush int, minute string").withColumn("minute", F.to_timestamp("minute"))
     got = {(r.flush, r.minute.minute): r.offset_ms for r in batch_offsets(rows, 7).collect()}

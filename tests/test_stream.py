@@ -85,3 +85,39 @@ def test_command_line(spark, tmp_path):
     main(args, spark)
     rows = {r.series: r.value for r in spark.read.json(f"{tmp_path}/out/batch=0").collect()}
     assert value({(s, 0): v for s, v in rows.items()}, "cdn_viewers") == 2
+
+
+def test_a_stream_starts_from_a_snapshot_and_saves_one(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(t, "f", i) for i, t in enumerate(texts(*x))], "value string, file string, line long")
+    settings = Settings(session_state_path=str(tmp_path / "snap" / "state.json.gz"))
+    one = EdgeLogStream(spark, f"file://{tmp_path}/one", lambda df, b: None, settings)
+    for batch in range(4):
+        one.process(rows(line(10 * batch), line(10 * batch, clientIP="10.0.0.2")), batch)
+    assert sorted(p.name for p in (tmp_path / "one" / "sessions").iterdir() if p.name.startswith("batch")) == ["batch=2", "batch=3"]
+    # the interval isn't over, so the snapshot is that of the first batch
+    two = EdgeLogStream(spark, f"file://{tmp_path}/two", lambda df, b: None, settings)
+    two.process(rows(line(60)), 0)
+    assert {(r.client_ip, r.first_seen.timestamp() - T0.timestamp()) for r in two.state("sessions", 0).collect()} == {("10.0.0.1", 0), ("10.0.0.2", 0)}
+
+
+def test_hours_and_standard_input(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+    from datetime import datetime, timedelta, timezone
+
+    from rillmark import __main__ as cli
+
+    now = datetime.now(timezone.utc)
+    for hours in (0, 30):
+        folder = tmp_path / "in" / f"{now - timedelta(hours=hours):%Y%m%d/%H}"
+        folder.mkdir(parents=True)
+        put(folder, "rtl.c+0+1.ndjson.gz", line(0, clientIP=f"10.0.0.{hours}"))
+    common = ["--output", f"file://{tmp_path}/out", "--once"]
+    cli.main(["--input", str(tmp_path / "in"), "--hours", "2", "--state", f"file://{tmp_path}/s", "--checkpoint", f"file://{tmp_path}/cp", *common], spark)
+    rows = {(r.series, 0): r.value for r in spark.read.json(f"{tmp_path}/out/batch=0").collect()}
+    assert value(rows, "cdn_viewers") == 1
+    monkeypatch.setattr(cli, "STDIN_LINES", 2)
+    monkeypatch.setattr(sys, "stdin", io.StringIO("\n".join(texts(line(0), line(1), line(500))) + "\n"))
+    cli.main(["--input", "-", "--state", f"file://{tmp_path}/s2", "--checkpoint", f"file://{tmp_path}/cp2", "--output", f"file://{tmp_path}/out2", "--once"], spark)
+    rows = {(r.series, 0): r.value for r in spark.read.json(f"{tmp_path}/out2/batch=1").collect()}
+    assert value(rows, "cdn_watch_sessions_total") == 1
