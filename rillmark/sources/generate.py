@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pools with their weights in a hundred.
+#: Pools with their weights in a hundred, chosen so that each kind of device occurs.
 AGENTS = (
-    ("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0.0.0", 30),
-    ("Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Firefox/121.0", 10),
-    ("AppleCoreMedia/1.0.0 (iPhone; U; CPU OS 18_5 like Mac OS X; en_us)", 20),
-    ("Dalvik/2.1.0 (Linux; U; Android 13; Pixel 7)", 15),
-    ("Roku/DVP-11.0 (11.0.0.4193)", 10),
-    ("AppleTV11,1/11.1", 10),
-    ("Dalvik/2.1.0 (Linux; U; Android 9; AFTMM Build/PS7633)", 5),
+    ("Mozilla/5.0 (Linux; Android 14; SM-S921B) Chrome/124.0 Mobile", 24),
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 14_4) Safari/617.1", 22),
+    ("AppleCoreMedia/1.0.0 (iPad; U; CPU OS 17_4 like Mac OS X; de_de)", 18),
+    ("Roku/DVP-12.5 (12.5.0.4178)", 14),
+    ("AppleTV14,1/17.4", 9),
+    ("Dalvik/2.1.0 (Linux; U; Android 11; AFTKA Build/RS8121)", 8),
+    ("Lavf/60.16.100", 5),
 )
-CACHE = (("HIT", 70), ("MISS", 20), ("EXPIRED", 10))
-STATUS = (("200", 75), ("206", 15), ("304", 5), ("404", 3), ("500", 2))
-COUNTRIES = ("US", "CA", "GB", "DE", "FR", "JP", "AU", "BR", "IN", "MX")
+CACHE = (("HIT", 64), ("MISS", 24), ("EXPIRED", 12))
+STATUS = (("200", 70), ("206", 20), ("304", 4), ("404", 4), ("500", 2))
+COUNTRIES = ("NL", "SE", "PL", "ES", "IT", "KR", "ZA", "AR")
 BASE_MICROS = 1_773_576_000_000_000
-#: Events, streams, addresses and locations of each tier.
+#: Events, streams, addresses and locations of each tier of the harness.
 TIERS = {"small": (10_000, 5, 1_000, 5), "medium": (100_000, 10, 10_000, 10), "large": (1_000_000, 20, 50_000, 15), "xl": (10_000_000, 50, 500_000, 20)}
 
 
