@@ -55,6 +55,24 @@ def test_one_id_with_several_texts_keeps_the_links_of_each(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard_components(df).collect()} == {(3, 3), (7, 3), (9, 3), (11, 11)}
 
 
+def test_repeated_ids_with_near_copies_equal_all_pairs(spark):
+    """Few ids, each on rows with different texts, copies and near copies among them."""
+    rng = random.Random(21)
+    bases = [[f"{s}{rng.randrange(10**6)}" for _ in range(60)] for s in "abcdefghijklmnop"]
+    rows = [(3, bases[0]), (7, bases[0]), (7, bases[1]), (9, [*bases[1], "end"])]
+    for _ in range(40):
+        own = list(rng.choice(bases[2:]))
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        rows.append((rng.randrange(20, 40), own))
+    sets = [(d, shingles(" ".join(t), 4)) for d, t in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 85 * len(x | y)]
+    want = components({d for d, _ in sets}, links)
+    assert want[9] == 3
+    got = jaccard_components(spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, want[d]) for d, _ in sets)
+
+
 def test_groups_larger_than_a_block(docs, rows, monkeypatch):
     """Comparison in pairs of blocks gives the same components."""
     want = Counter(jaccard_components(docs).collect())

@@ -48,6 +48,36 @@ def test_shards(wide, rows, carry):
         assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter((r[0], r[1], r[3]) for r in rows)
 
 
+def naive_differencing(sizes, k):
+    """The two partitions of largest spread, found by looking at all; the earlier one among equals."""
+    left = [(size, i, [(size, [i])] + [(0, [])] * (k - 1)) for i, size in enumerate(sizes)]
+    born = len(left)
+    while len(left) > 1:
+        a, b = sorted(left, key=lambda p: (-p[0], p[1]))[:2]
+        left.remove(a), left.remove(b)
+        slots = sorted(((x + y, xs + ys) for (x, xs), (y, ys) in zip(a[2], b[2][::-1], strict=True)), key=lambda s: -s[0])
+        left.append((slots[0][0] - slots[-1][0], born, slots))
+        born += 1
+    return {i: shard for _, _, slots in left for shard, (_, items) in enumerate(slots) for i in items}
+
+
+@pytest.mark.parametrize(("shards", "cells"), [(4, 64), (3, 2)])
+def test_shards_equal_naive_differencing(docs, shards, cells):
+    got = shard_documents(docs, shards=shards, cells=cells)
+    rows = got.selectExpr("group_key", "size", "shard", f"cast(pmod(xxhash64(group_key), {shards * cells}) as int) cell").collect()
+    bytes_of = defaultdict(int)
+    for r in rows:
+        bytes_of[r.group_key] += r.size
+    total = sum(bytes_of.values())
+    large = sorted(g for g, n in bytes_of.items() if n * shards * cells > total)
+    pooled = defaultdict(int)
+    for g, cell in {(r.group_key, r.cell) for r in rows if r.group_key not in large}:
+        pooled[cell] += bytes_of[g]
+    placed = naive_differencing([bytes_of[g] for g in large] + [pooled[c] for c in sorted(pooled)], shards)
+    at = {g: i for i, g in enumerate(large)} | {c: len(large) + i for i, c in enumerate(sorted(pooled))}
+    assert all(r.shard == placed[at[r.group_key if r.group_key in at else r.cell]] for r in rows) and large and pooled
+
+
 def test_null_and_empty_texts_are_two_groups(docs):
     got = {r.group_key for r in shard_documents(docs.where("text is null or text = ''"), shards=2).collect()}
     assert len(got) == 2

@@ -115,6 +115,38 @@ def test_held_out_accuracy(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_predictions_equal_naive_counts_and_scores(spark):
+    """Model and scores again with dictionaries: word, else the mean of the longest known n-grams."""
+    docs, rows = corpus(spark, 120, 5)
+    rng = random.Random(6)
+    fresh = [(5000 + i, " ".join("".join(rng.choices(["ka", "lo", "sch", "ung", "ción", "zz", "Q"], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    counts = {}
+    for text, lang in [(t, lang) for _, t, lang in rows] + [("12 34 !!", "bb"), ("", "aa")]:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 6):
+                counts.setdefault((lang, n), Counter()).update(f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n))
+    langs = sorted({lang for lang, _ in counts})
+    log = lambda lang, n, u: np.log((counts[lang, n][u] + 0.5) / (sum(counts[lang, n].values()) + len(counts[lang, n]) + 1))
+    known = lambda n, u: any(counts[lang, n][u] for lang in langs)
+
+    def score(lang, w):
+        if known(0, w):
+            return log(lang, 0, w)
+        for n in range(5, 0, -1):
+            hits = [g for i in range(len(w) + 3 - n) if known(n, g := f"_{w}_"[i : i + n])]
+            if hits:
+                return np.mean([log(lang, n, g) for g in hits])
+        return 0.0
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_languages(spark.createDataFrame(fresh, "doc_id long, text string"), langid.learn(docs)).collect()}
+    for i, text in fresh:
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        total = np.array([sum(score(lang, w) for w in found) for lang in langs])
+        want = 1 / np.exp((total - total.max()) * min(len(found), 20) / len(found)).sum()
+        assert got[i][0] == langs[int(total.argmax())] and got[i][1] == pytest.approx(want, rel=1e-3)
+
+
 def test_backoff_uses_the_longest_known_order():
     grams = {3: ["abc"], 2: ["xy"], 1: ["q"]}
     logs = {3: np.array([[-1, -9]], np.float32), 2: np.array([[-9, -1]], np.float32), 1: np.array([[-2, -3]], np.float32)}
