@@ -19,14 +19,21 @@ def hour_prefixes(prefix: str, hours: int, now: datetime | None = None) -> list[
     return [f"{prefix.rstrip('/')}/{t:%Y%m%d}/{t:%H}" for t in stamps]
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Non-blank lines with their file and a sequence that follows file name, then line.
+def line_place(block: str | Column = "_metadata.file_block_start") -> Column:
+    """Where a line stands in its file, to order by: the start of its split, then its row in the task.
 
-    A compressed file is one partition, so the running id keeps its order of lines.
+    Spark splits a large plain file and hands its splits to tasks in any order; a compressed
+    file is one split.
     """
+    block = F.col(block) if isinstance(block, str) else block
+    return F.struct(block.alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Non-blank lines with their file and their place in it, ``line``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.option("recursiveFileLookup", "true").text(paths)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), line_place().alias("line")).where(
         F.rlike("value", F.lit(r"\S"))
     )
 
@@ -38,7 +45,7 @@ def hour_glob(prefix: str, hours: int, now: datetime | None = None) -> str:
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, clean: str | None = None, archive: str | None = None, lookback_hours: int = 0) -> DataFrame:
-    """A stream of the lines of new files, without line ids, which only a batch can give. ``path`` may be a pattern.
+    """A stream of the lines of new files with the split they stand in; rows are numbered by the batch. ``path`` may be a pattern.
 
     ``clean`` may be ``delete`` or ``archive`` once a file was processed. With ``lookback_hours``
     files that are older than so long before the newest one are left.
@@ -51,7 +58,7 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = N
     if clean:
         reader = reader.option("cleanSource", clean)
         reader = reader.option("sourceArchiveDir", archive) if archive else reader
-    return reader.load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.load(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -101,11 +108,10 @@ def events(records: DataFrame, seq: Column | None = None, keep: Sequence[str] =
 def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Events of compressed or plain NDJSON files, with ``file`` and ``line``.
 
-    ``ingest_seq`` is the line's id, which rises within a file. Ids of different files don't
-    follow file names; where arrival order over files matters, as for sessions,
-    ``sessions.in_arrival_order`` numbers each pair's events by file, then line.
+    ``ingest_seq`` is an id that rises within a split of a file. Where arrival order matters, as
+    for sessions, ``sessions.in_arrival_order`` numbers each pair's events by file, then line.
     """
-    return events(parsed(read_lines(spark, paths)), F.col("line"), keep=("file", "line"))
+    return events(parsed(read_lines(spark, paths)), F.col("line.row"), keep=("file", "line"))
 
 
 def from_objects(spark: SparkSession, rows: Iterable[Mapping | object]) -> DataFrame:

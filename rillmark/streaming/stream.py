@@ -102,7 +102,7 @@ class EdgeLogStream:
         began = time.monotonic()
         lines = lines.where(F.rlike("value", F.lit(r"\S")))
         if "line" not in lines.columns:
-            lines = lines.withColumn("line", F.monotonically_increasing_id())
+            lines = lines.withColumn("line", logs.line_place("split" if "split" in lines.columns else F.lit(0)))
         parsed = logs.events(logs.parsed(lines), keep=("file", "line"))
         parsed = sessions.in_arrival_order(parsed).persist()
         try:
@@ -110,12 +110,15 @@ class EdgeLogStream:
             before = self._before("clock", batch, "micros long").agg(F.max("micros")).first()[0]
             ref_micros = max((x for x in (latest, before) if x is not None), default=None)
             if ref_micros is None:
+                # no event was ever seen, so the files' report has no other clock
+                wall = self.clock() if self.clock else time.time_ns() // 1_000_000
+                self.sink(reduce(DataFrame.unionByName, self._reports(lines, parsed, wall * 1000, began, latest is not None)), batch)
                 return
             self._keep(self.spark.createDataFrame([(ref_micros,)], "micros long"), "clock", batch)
             ref = F.timestamp_micros(F.lit(ref_micros))
             now_ms = self.clock() if self.clock else ref_micros // 1000
             parts = [self._flushed(parsed, batch, now_ms), self._gauges(parsed, batch, ref, ref_micros, now_ms)]
-            parts += self._reports(lines, parsed, ref_micros, began)
+            parts += self._reports(lines, parsed, ref_micros, began, latest is not None)
             self.sink(reduce(DataFrame.unionByName, parts), batch)
             self._save(batch)
             self._forget(batch)
@@ -157,15 +160,18 @@ class EdgeLogStream:
             self._samples(stamped(watched), ["stream", "le", "band"], now_ms, s.metric_prefix)
         )
 
-    def _reports(self, lines: DataFrame, events: DataFrame, ref_micros: int, began: float) -> list[DataFrame]:
-        """Lines of each file, the seconds that the batch took so far, and unmatched agents if there are any."""
+    def _reports(self, lines: DataFrame, events: DataFrame, ref_micros: int, began: float, any_event: bool) -> list[DataFrame]:
+        """Lines of each file, the seconds that the batch took so far, and unmatched agents if there are any.
+
+        A batch of lines without an event has the result ``failure``.
+        """
         s = self.settings
         at = F.lit(ref_micros // 60_000_000 * 60_000).cast("long")
         files = logs.file_report(lines).select(
             F.lit("file_lines_processed_total").alias("metric_name"), F.when(F.col("events") > 0, "success").otherwise("failure").alias("result"), "file",
             F.col("lines").cast("double").alias("value"), at.alias("timestamp_ms"),
         )
-        took = self.spark.createDataFrame([("file_process_time_seconds", "success", time.monotonic() - began)], "metric_name string, result string, value double")
+        took = self.spark.createDataFrame([("file_process_time_seconds", "success" if any_event or lines.isEmpty() else "failure", time.monotonic() - began)], "metric_name string, result string, value double")
         out = [self._samples(files, ["result", "file"], None, s.metric_prefix), self._samples(took.withColumn("timestamp_ms", at), ["result"], None, s.metric_prefix)]
         if s.unmatched_logging:
             total = flushes.unmatched_summary(events, s.unmatched_max_tracked).where("total > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmark.config import Settings, duration_label
 from rillmark.functions import device, text, times
+from rillmark.operators import sessions
 from rillmark.sources import generate, logs
 
 DEVICES = [
@@ -99,3 +100,21 @@ def test_generator_is_parsed_whole(spark):
     assert events.count() == 2_000
     assert events.select("stream_id").distinct().count() == 5
     assert events.where("device_type = 'other' or client_ip not like '10.%'").count() == 0
+
+
+def test_lines_of_a_split_plain_file_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text("\n".join(texts(*[line(i / 10) for i in range(3000)])) + "\n")
+    (tmp_path / "b.ndjson").write_text("\n".join(texts(*[line(300 + i) for i in range(5)])) + "\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")
+    try:
+        for name, setting in zip(names, ("30000", "0", "3"), strict=True):
+            spark.conf.set(name, setting)
+        events = logs.read_events(spark, str(tmp_path))
+        assert events.select("line.split").distinct().count() > 20 and events.rdd.getNumPartitions() < 20
+        ordered = [r.timestamp for r in events.orderBy("file", "line").select("timestamp").collect()]
+        assert ordered == sorted(ordered) and len(ordered) == 3005
+        seq = [r.t for r in sessions.in_arrival_order(events).orderBy("ingest_seq").select(F.col("timestamp").alias("t")).collect()]
+        assert seq == ordered
+    finally:
+        for name in names:
+            spark.conf.unset(name)

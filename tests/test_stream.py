@@ -69,11 +69,22 @@ def test_a_repeated_batch_gives_the_same(spark, tmp_path):
     assert any(s.startswith("cdn_watch_sessions_total") and v == 1 for s, _, v in got[3][0])
 
 
-def test_nothing_to_do(spark, tmp_path):
+def test_without_an_event_only_the_files_are_reported(spark, tmp_path):
     got: dict = {}
-    stream = EdgeLogStream(spark, f"file://{tmp_path}/state", lambda df, b: got.setdefault(b, df.count()))
-    stream.process(spark.createDataFrame([("broken", "f", 0)], "value string, file string, line long"), 0)
-    assert got == {}
+
+    def sink(df, batch):
+        got[batch] = {(r.series, r.timestamp_ms): r.value for r in df.collect()}
+
+    stream = EdgeLogStream(spark, f"file://{tmp_path}/state", sink, clock=lambda: 90_000)
+    rows = lambda *x: spark.createDataFrame([(t, "f", i) for i, t in enumerate(x)], "value string, file string, line long")
+    stream.process(rows("broken", " "), 0)
+    assert value(got[0], "cdn_file_lines_processed_total", result="failure", file="f") == 1
+    assert value(got[0], "cdn_file_process_time_seconds", result="failure") > 0
+    assert len(got[0]) == 2 and {t for _, t in got[0]} == {60_000}
+    # nothing was kept, and a batch without lines is no failure
+    assert not (tmp_path / "state").exists()
+    stream.process(rows(), 1)
+    assert len(got[1]) == 1 and value(got[1], "cdn_file_process_time_seconds", result="success") > 0
 
 
 def test_command_line(spark, tmp_path):
