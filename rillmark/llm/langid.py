@@ -22,11 +22,12 @@ from rillmark.llm.scratch import stage_table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Bounds of the model: documents a language is learnt from, words and n-grams of an order kept for it.
+#: Bounds of the model: documents a language is learnt from, words and n-grams of an order kept for it, and
+#: log frequencies in all, which keep fewer units of a language where there are more than 30.
 DOCS_PER_LANG = 3_000
 WORDS_PER_LANG = 20_000
 GRAMS_PER_LANG = 10_000
-LANGUAGES = 200
+MODEL_CELLS = 64_000_000
 #: Floats of remembered scores in a task, and words that the confidence saturates at.
 MEMO = 800_000
 SURE_WORDS = 20
@@ -81,28 +82,37 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(seen, _COUNTS)
 
 
+def units_kept(langs: int) -> tuple[int, int]:
+    """Words, and n-grams of an order, that each of so many languages keeps: one at least."""
+    share = min(1.0, MODEL_CELLS / (langs * langs * (WORDS_PER_LANG + len(ORDERS) * GRAMS_PER_LANG)))
+    return max(1, int(WORDS_PER_LANG * share)), max(1, int(GRAMS_PER_LANG * share))
+
+
 def learn(docs: DataFrame) -> Model:
     """Fit a model on rows with a text and a non-null ``lang``; hand over the training fold only.
 
-    Fitted on at most ``DOCS_PER_LANG`` documents of each of the ``LANGUAGES`` most frequent
-    languages, chosen by a hash of the id: a bounded sample of labelled rows. Its counts are
-    made by distributed grouped sums, and the model has at most ``WORDS_PER_LANG`` words and
-    ``GRAMS_PER_LANG`` n-grams of each order a language. Ties in frequency break by code point.
-    Without labelled rows the model has no language.
+    Fitted on about ``DOCS_PER_LANG`` documents at most of every labelled language, chosen by a
+    hash of the id: a bounded sample of labelled rows. Its counts are made by distributed
+    grouped sums, and the model has at most ``WORDS_PER_LANG`` words and ``GRAMS_PER_LANG``
+    n-grams of each order a language, fewer if all would be over ``MODEL_CELLS`` numbers
+    (``units_kept``). Ties in frequency break by code point. Without labelled rows the model has
+    no language.
     """
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return Model([], [], np.empty((0, 0)), {}, {})
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, DOCS_PER_LANG / r["count"]))])
+    n_words, n_grams = units_kept(len(sizes))
+    # a row for each language, however many documents there are
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, DOCS_PER_LANG / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share[F.col("lang")]).select("lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
     add = lambda df: df.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
     words = stage_table(add(sample.mapInArrow(_count_words, _COUNTS_SCHEMA)), "words")
     grams = stage_table(add(words.mapInArrow(_count_grams, _COUNTS_SCHEMA)), "grams")
     both = words.union(grams)
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("count"), "unit"))
-    keep = F.when(F.col("n") == 0, WORDS_PER_LANG).otherwise(GRAMS_PER_LANG)
+    keep = F.when(F.col("n") == 0, n_words).otherwise(n_grams)
     units = stage_table(both.withColumn("rank", rank).where(F.col("rank") <= keep).select("n", "unit").distinct(), "units")
     kept = both.join(units, ["n", "unit"]).orderBy("n", "unit", "lang").select("lang", "n", "unit", "count").toArrow()
     totals = {(r["lang"], r["n"]): (r["total"], r["kinds"]) for r in both.groupBy("lang", "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds")).collect()}

@@ -459,3 +459,13 @@ def test_url_edge_cases(spark):
     rows = judge_urls(df.selectExpr("*", "1 as rule", "2 as host", "3 as verdict", "4 as shape", "5 as template"), RULES).collect()
     assert len(rows) == 3 and {r.verdict for r in rows} == {"allow", "block"} and max(r.shape.count("/") for r in rows) == 299
     assert judge_urls(df.where("false"), RULES).count() == 0
+
+
+def test_every_labelled_language_can_be_predicted(spark, monkeypatch):
+    # 230 languages, each with words of its own; the last is the rarest
+    own = lambda i, k: "".join(chr(97 + (i // 26**j + k * (j + 1)) % 26) for j in range(3)) * 2
+    rows = [(i * 10 + d, f"l{i:03}", " ".join(own(i, k) for k in range(6))) for i in range(230) for d in range(1 if i == 229 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs, langid.learn(docs)).collect()}
+    assert found[2290] == "l229" and sum(found[d] == lang for d, lang, _ in rows) >= 0.95 * len(rows)
+    assert langid.units_kept(30) == (20_000, 10_000) and langid.units_kept(230)[0] < 400 and langid.units_kept(10_000) == (1, 1)
