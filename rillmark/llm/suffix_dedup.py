@@ -100,11 +100,18 @@ def _home(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(anchor * _HOME) % U64(buckets)).astype(np.int64)
 
 
-def _to_homes(k1: np.ndarray, k2: np.ndarray, text: np.ndarray, values: np.ndarray, homes: int) -> list[tuple[int, int, bytes]]:
-    """Values of texts packed by the home of their text, so that rows don't multiply by buckets."""
+def _text_home(k1: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(np.ascontiguousarray(k1).view(U64)) % U64(homes)).astype(np.int64)
+
+
+_NO_IDS = np.empty(0, np.int64)
+
+
+def _to_homes(k1: np.ndarray, k2: np.ndarray, text: np.ndarray, values: np.ndarray, homes: int, rank: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """Values of texts, a row of bytes each, packed by the home of their text, so that rows don't multiply by buckets."""
     if not len(text):
         return []
-    home = (mix(k1[text].view(U64)) % U64(homes)).astype(np.int64)
+    home = _text_home(k1[text], homes)
     order = np.lexsort((text, home))
     text, values, home = text[order], values[order], home[order]
     cut = np.searchsorted(home, np.arange(homes + 1))
@@ -113,32 +120,58 @@ def _to_homes(k1: np.ndarray, k2: np.ndarray, text: np.ndarray, values: np.ndarr
         t, v = text[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
         turn = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         runs = np.diff(np.r_[turn, len(t)])
-        rows.append((int(i), int(i), pack(k1[t[turn]], k2[t[turn]], runs, v.reshape(-1).view(np.int64))))
+        ranks = _NO_IDS if rank is None else rank[t[turn]]
+        rows.append((int(i), int(i), pack(k1[t[turn]], k2[t[turn]], ranks, runs, v.reshape(-1))))
     return rows
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text of a home, with all its values."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for home, blob in zip(column(batch, "home").to_pylist(), column(batch, "blob").to_pylist(), strict=True):
-            held.setdefault(home, []).append(blob)
-    for home in list(held):
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for blob in held.pop(home):
-            k1, k2, runs, values = unpack(blob, np.int64, np.int64, np.int64, np.int64)
-            width = len(values) // int(runs.sum())
-            stop = np.cumsum(runs) * width
-            for key, a, b in zip(zip(k1.tolist(), k2.tolist(), strict=True), stop - runs * width, stop, strict=True):
-                found.setdefault(key, []).append(values[a:b])
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                pa.array([np.concatenate(found[k]).tobytes() for k in keys], pa.binary()),
-            ],
-            ["k1", "k2", "found"],
-        )
+def _ids_to_homes(least: dict[tuple[int, int], int], homes: int) -> list[tuple[int, int, bytes]]:
+    """The smallest id that a task met of each text, without values."""
+    if not least:
+        return []
+    table = np.array([(*key, doc) for key, doc in least.items()], np.int64)
+    home = _text_home(table[:, 0], homes)
+    table = table[np.argsort(home, kind="stable")]
+    cut = np.r_[0, np.cumsum(np.bincount(home, minlength=homes))]
+    return [(int(i), int(i), pack(*table[cut[i] : cut[i + 1]].T, _NO_IDS, np.empty(0, np.uint8))) for i in np.flatnonzero(np.diff(cut))]
+
+
+def _gather(distinct_anchors: bool):
+    """One row for each text of a home that has values, with all of them and the smallest id met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for home, blob in zip(column(batch, "home").to_pylist(), column(batch, "blob").to_pylist(), strict=True):
+                held.setdefault(home, []).append(blob)
+        for home in list(held):
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
+            least: dict[tuple[int, int], int] = {}
+            for blob in held.pop(home):
+                k1, k2, ranks, runs, values = unpack(blob, np.int64, np.int64, np.int64, np.int64, np.uint8)
+                keys = list(zip(k1.tolist(), k2.tolist(), strict=True))
+                if len(ranks):
+                    for key, doc in zip(keys, ranks.tolist(), strict=True):
+                        if doc < least.get(key, doc + 1):
+                            least[key] = doc
+                if len(runs):
+                    width = len(values) // int(runs.sum())
+                    stop = np.cumsum(runs) * width
+                    for key, a, b in zip(keys, stop - runs * width, stop, strict=True):
+                        found.setdefault(key, []).append(values[a:b])
+            keys = list(found)
+            whole = [np.concatenate(found[k]) for k in keys]
+            if distinct_anchors:
+                whole = [_five_bytes(np.unique(_from_five_bytes(x))) for x in whole]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array([least[k] for k in keys], pa.int64()), pa.array([x.tobytes() for x in whole], pa.binary()),
+                ],
+                ["k1", "k2", "doc_id", "found"],
+            )
+
+    return run
 
 
 def _sort_rows(batches: Iterator[pa.RecordBatch], held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -155,18 +188,23 @@ def _sort_rows(batches: Iterator[pa.RecordBatch], held: dict[int, list[bytes]])
 
 
 def _anchor_blobs(length: int, buckets: int):
-    """Step 1 in a task: anchors that two of its texts share are known; one of each is sent on."""
+    """Step 1 in a task: anchors that two of its texts share are known; one of each is sent on.
+
+    The home of a text learns its smallest id, once from each task unless a smaller one comes later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1s: list[np.ndarray] = []
         k2s: list[np.ndarray] = []
         anchors: list[np.ndarray] = []
         texts: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
+        news: dict[tuple[int, int], int] = {}
         held = n_texts = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n_texts, held
+            rows = _ids_to_homes(news, buckets)
             if anchors:
                 k1, k2 = np.concatenate(k1s), np.concatenate(k2s)
                 anchor, text = np.concatenate(anchors), np.concatenate(texts)
@@ -179,7 +217,7 @@ def _anchor_blobs(length: int, buckets: int):
                 several = np.zeros(len(first), bool)
                 several[group[text != text[first][group]]] = True
                 known = np.flatnonzero(several[group])
-                rows = _to_homes(k1, k2, text[known], _short(anchor[known]), buckets)
+                rows += _to_homes(k1, k2, text[known], _five_bytes(_short(anchor[known])).reshape(-1, 5), buckets)
                 anchor, text = anchor[first], text[first]
                 home = _home(anchor, buckets)
                 order = np.lexsort((text, home))
@@ -191,18 +229,19 @@ def _anchor_blobs(length: int, buckets: int):
                         turn = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                         runs = np.diff(np.r_[turn, len(t)]).astype(np.int32)
                         rows.append((i, None, pack(k1[t[turn]], k2[t[turn]], runs, _five_bytes(_short(anchor[cut[i] : cut[i + 1]])))))
-                if rows:
-                    yield _batch(*zip(*rows, strict=True))
-            k1s.clear(), k2s.clear(), anchors.clear(), texts.clear()
+            if rows:
+                yield _batch(*zip(*rows, strict=True))
+            k1s.clear(), k2s.clear(), anchors.clear(), texts.clear(), news.clear()
             held = n_texts = 0
 
         for block in blocks(batches):
             k1, k2 = (np.asarray(column(block.rows, c)) for c in ("k1", "k2"))
             fresh = np.zeros(len(k1), bool)
-            for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
-                if key not in seen:
-                    seen.add(key)
-                    fresh[i] = True
+            for i, (*pair, doc) in enumerate(zip(k1.tolist(), k2.tolist(), column(block.rows, "doc_id").to_pylist(), strict=True)):
+                key = (pair[0], pair[1])
+                fresh[i] = key not in seen
+                if fresh[i] or doc < seen[key]:
+                    seen[key] = news[key] = doc
             _, _, anchor, doc = window_anchors(block.data, block.off, length)
             mine = fresh[doc]
             k1s.append(k1), k2s.append(k2), anchors.append(anchor[mine]), texts.append(doc[mine] + n_texts)
@@ -235,7 +274,7 @@ def _shared_anchors(buckets: int):
             several = np.zeros(len(first), bool)
             several[group[text != text[first][group]]] = True
             hit = np.flatnonzero(several[group])
-            rows = _to_homes(np.ascontiguousarray(keys[0]), np.ascontiguousarray(keys[1]), text[hit], anchor[hit], buckets)
+            rows = _to_homes(np.ascontiguousarray(keys[0]), np.ascontiguousarray(keys[1]), text[hit], _five_bytes(anchor[hit]).reshape(-1, 5), buckets)
             if rows:
                 yield _batch(*zip(*rows, strict=True))
 
@@ -437,6 +476,10 @@ def repeated_windows(s: Strings, rank: np.ndarray, length: int) -> tuple[np.ndar
     return _merged(np.concatenate(text), np.concatenate(begin), np.concatenate(end))
 
 
+def _pairs(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.stack([begin, end], axis=1).astype(np.int64).view(np.uint8)
+
+
 def _merged(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of each text, in order."""
     if not len(text):
@@ -478,7 +521,7 @@ def _send_strings(length: int, buckets: int):
                     own.append(x.take(np.flatnonzero(~later)))
                     own[-1].data = own[-1].gather()
                 text, begin, end = _merged(*(np.concatenate(z) for z in zip(*gone, strict=True)))
-                rows = _to_homes(k1, k2, text, np.stack([begin, end], axis=1), buckets)
+                rows = _to_homes(k1, k2, text, _pairs(begin, end), buckets, rank)
                 s = _joined(own)
                 own.clear()
                 home = _home(s.anchor, buckets)
@@ -500,7 +543,7 @@ def _send_strings(length: int, buckets: int):
             start, count, anchor, doc = window_anchors(block.data, block.off, length)
             shared = column(block.rows, "anchors").to_pylist()
             docs = len(shared)
-            known = [np.frombuffer(own, U64) for own in shared]
+            known = [_from_five_bytes(np.frombuffer(own, np.uint8)) for own in shared]
             pair = np.concatenate(known) if known else np.empty(0, U64)
             whose = np.repeat(np.arange(docs), [len(x) for x in known])
             # a text's anchors against those shared: compare within the text
@@ -542,7 +585,7 @@ def _resolve(length: int, buckets: int):
             s = Strings(text, start, size, anchor, data, np.r_[0, np.cumsum(size)[:-1]])
             found = [repeated_windows(x, rank, length) for x in by_anchor(s)]
             text, begin, end = _merged(*(np.concatenate(z) for z in zip(*found, strict=True)))
-            rows = _to_homes(k1, k2, text, np.stack([begin, end], axis=1), buckets)
+            rows = _to_homes(k1, k2, text, _pairs(begin, end), buckets, rank)
             if rows:
                 yield _batch(*zip(*rows, strict=True))
 
@@ -612,32 +655,34 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     buckets = max(least, -(-size // (2 * BUCKET_BYTES)))
     parts = max(least, -(-size // TEXT_BYTES))
     named = keyed.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
+    # the homes know the owner of each text, so what they gather joins without another exchange
+    named_values = "k1 long, k2 long, doc_id long, found binary"
+    own_type = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
     found = (
-        named.select("k1", "k2", "text").mapInArrow(_anchor_blobs(length, buckets), _SCHEMA)
+        named.select("doc_id", "k1", "k2", "text").mapInArrow(_anchor_blobs(length, buckets), _SCHEMA)
         .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_shared_anchors(buckets), _SCHEMA)
         .repartitionById(buckets, F.col("home"))
-        .mapInArrow(_gather, "k1 long, k2 long, found binary")
-        .withColumnRenamed("found", "anchors")
+        .mapInArrow(_gather(True), named_values)
+        .select("k1", "k2", own_type, F.col("found").alias("anchors"))
     )
     key = ["k1", "k2"]
     groups = owners(rows.where(F.col("n_bytes") >= length), key)
-    owned = groups.select(*key, F.col("owner").alias("doc_id"))
     # both joins read the texts from this one exchange
     moved = named.repartition(parts, "k1", "k2", "doc_id")
     spans = (
-        moved.join(found.join(owned, key).hint("shuffle_hash"), [*key, "doc_id"])
+        moved.join(found.hint("shuffle_hash"), [*key, "doc_id"])
         .select("doc_id", "k1", "k2", "text", "anchors")
         .mapInArrow(_send_strings(length, buckets), _SCHEMA)
         .repartitionById(buckets, F.col("bucket"))
         .mapInArrow(_resolve(length, buckets), _SCHEMA)
         .repartitionById(buckets, F.col("home"))
-        .mapInArrow(_gather, "k1 long, k2 long, found binary")
-        .withColumnRenamed("found", "spans")
+        .mapInArrow(_gather(False), named_values)
+        .select("k1", "k2", own_type, F.col("found").alias("spans"))
     )
     schema = "k1 long, k2 long, spans array<struct<begin:long,end:long>>, n_removed long, kept_sha256 string"
     cut = (
-        moved.join(spans.join(owned, key).hint("shuffle_hash"), [*key, "doc_id"])
+        moved.join(spans.hint("shuffle_hash"), [*key, "doc_id"])
         .select(*key, "text", "spans")
         .mapInArrow(_cut(texts), schema + (", kept binary" if texts else ""))
         .dropDuplicates(key)
