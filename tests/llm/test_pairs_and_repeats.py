@@ -164,6 +164,19 @@ def test_one_id_with_several_texts_removes_nothing_from_itself(spark):
     assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(df).collect()) == [(5, 0), (5, 0), (9, len(long))]
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_owners_that_come_after_their_copies(spark, tasks):
+    rng = random.Random(tasks)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    shared = [" ".join(word() for _ in range(9)) for _ in range(4)]
+    texts = [" ".join([word(), rng.choice(shared), word(), rng.choice(shared)]) for _ in range(8)]
+    # ids fall along the rows, so the smallest id of a text is the last that a task meets
+    rows = [(300 - 3 * i, rng.choice(texts)) for i in range(70)] + [(-7, texts[0]), (-9, texts[1][5:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.n_removed, len(r.spans), r.kept_sha256) for r in remove_repeats(df if tasks == 1 else df.repartition(tasks)).collect())
+    assert got == Counter((d, gone, spans, sha) for d, _, gone, spans, sha, _ in removed(rows, 50))
+
+
 def test_suffix_sort_is_an_order():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
