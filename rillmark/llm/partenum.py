@@ -377,7 +377,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, shingle: int = 4) ->
         .agg(F.collect_list(F.struct("hub", "left", "right", "own")).alias("places"))
         .hint("shuffle_hash")
     )
-    sent = docs.join(places, "doc_id").mapInArrow(_send_sets(shingle), "hub long, left int, right int, own int, doc_id long, features binary")
+    # only these texts are needed once more; the exchange that found them is gone before their sets, about as large, are exchanged
+    placed = stage_table(docs.join(places, "doc_id"), "placed")
+    sent = placed.mapInArrow(_send_sets(shingle), "hub long, left int, right int, own int, doc_id long, features binary")
     links = (
         sent.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "hub", "left", "right")
         .sortWithinPartitions("hub", "left", "right", "doc_id")

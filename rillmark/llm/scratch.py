@@ -3,6 +3,10 @@
 A staged table cuts lineage and survives lost executors, because its files live in the
 folder named by ``spark.checkpoint.dir``. Only a local session without that setting gets
 a folder of its own.
+
+The exchanges of a query end with the write of its table. Left to the driver's garbage
+collector their files pile up, the more the larger the input: a large run makes no more
+garbage on the driver than a small one.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting (from 4.1 on) by which a query's shuffle files go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder; raises on a cluster that names none."""
@@ -28,11 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The files are removed when the driver's JVM ends, since the returned frame is lazy.
+    The files are removed when the driver's JVM ends, since the returned frame is lazy; those of
+    the exchanges below the write are removed with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
