@@ -8,7 +8,8 @@ smaller id. Three steps find these strings:
    each run of windows with the same one, and only anchors met in two texts go on.
 2. The texts are read again; each run of windows under such an anchor is sent, as one
    string, to the bucket of the anchor.
-3. In a bucket the suffixes under each anchor are put in order by mergesort. Two suffixes
+3. In a bucket the suffixes under each anchor are put in order by mergesort, but for those whose
+   first ``length`` bytes have a hash that no other has: nothing is equal to them. Two suffixes
    are compared by a binary search for their common extension on prefix polynomial hashes,
    so a comparison takes a logarithmic number of steps. Neighbours that agree on ``length``
    bytes, verified byte by byte, hold equal windows; all but those of the smallest document
@@ -374,18 +375,21 @@ def common_extension(q: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, k
 def suffix_sort(data: np.ndarray, q: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Order of suffixes by group (which rises) and their first ``length`` (8 or more) bytes: a mergesort.
 
+    The first 8 bytes, as a number, part a group at once; suffixes that agree in them are merged.
     Runs double at each level. Every suffix finds its rank in the run that its own is merged
-    with by binary search, all suffixes of a level at once. A comparison looks at the first 8
-    bytes as a number, then at the ``common_extension``.
+    with by binary search, all suffixes of a level at once. A comparison looks at the
+    ``common_extension``.
     """
     n = len(at)
-    order = np.arange(n)
     if not n:
-        return order
+        return np.arange(n)
     key = np.zeros(n, U64)
     for j in range(8):
         key = (key << U64(8)) | data[at + j]
-    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    parted = np.lexsort((key, group))
+    at, key, group = at[parted], key[parted], group[parted]
+    order = np.arange(n)
+    begins = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
     size_of = np.diff(np.r_[begins, n])
     base, size = np.repeat(begins, size_of), np.repeat(size_of, size_of)
     within = np.arange(n) - base
@@ -396,18 +400,15 @@ def suffix_sort(data: np.ndarray, q: np.ndarray, at: np.ndarray, group: np.ndarr
         is_left = (number[act] & 1) == 0
         begin = base[act] + (number[act] ^ 1) * run
         low, high = begin.copy(), np.minimum(begin + run, base[act] + size[act])
-        place, keys = at[order], key[order]
+        place = at[order]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
-            me = act[open_]
-            below = keys[mid] < keys[me]
-            tie = np.flatnonzero(keys[mid] == keys[me])
-            mine, other = place[me[tie]], place[mid[tie]]
+            mine, other = place[act[open_]], place[mid]
             ext = common_extension(q, mine, other, length, 8)
             step = np.minimum(ext, length - 1)
             # among equals the left run's suffixes come first
-            below[tie] = np.where(ext == length, ~is_left[open_[tie]], data[other + step] < data[mine + step])
+            below = np.where(ext == length, ~is_left[open_], data[other + step] < data[mine + step])
             low[open_] = np.where(below, mid + 1, low[open_])
             high[open_] = np.where(below, high[open_], mid)
             open_ = open_[low[open_] < high[open_]]
@@ -417,7 +418,19 @@ def suffix_sort(data: np.ndarray, q: np.ndarray, at: np.ndarray, group: np.ndarr
         moved[to] = order
         order = moved
         run *= 2
-    return order
+    return parted[order]
+
+
+def _met_again(q: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``at``, in order, have a hash that another one of their group has too.
+
+    Equal windows have equal hashes, so the others have no equal one and needn't be sorted.
+    """
+    h = mix((q[at + length] - q[at]) * powers(_UNBASE, len(q))[at]) + mix(group.astype(U64))
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    return np.sort(order[np.r_[False, same] | np.r_[same, False]])
 
 
 def repeated_windows(s: Strings, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,6 +458,8 @@ def repeated_windows(s: Strings, rank: np.ndarray, length: int) -> tuple[np.ndar
         owner = np.repeat(np.arange(len(lead)), windows)
         shift = np.arange(int(windows.sum())) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
         at = s.at[lead][owner] + shift
+        again = _met_again(q, at, group[owner], length)
+        at, owner, shift = at[again], owner[again], shift[again]
         order = suffix_sort(s.data, q, at, group[owner], length)
         at, owner, shift = at[order], owner[order], shift[order]
         same = np.zeros(len(at), bool)
@@ -455,7 +470,7 @@ def repeated_windows(s: Strings, rank: np.ndarray, length: int) -> tuple[np.ndar
             same[i] = (s.data[at[i, None] + reach] == s.data[at[i - 1, None] + reach]).all(axis=1)
         number = np.cumsum(~same) - 1
         mine = least[cls[lead]][owner]
-        first = np.minimum.reduceat(mine, np.flatnonzero(~same))
+        first = np.minimum.reduceat(mine, np.flatnonzero(~same)) if len(at) else mine
         gone = mine > first[number]
         # these windows go from all texts that hold the string and are no later copies
         drop_of, drop_shift = owner[gone], shift[gone]
@@ -666,6 +681,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
         .mapInArrow(_gather(True), named_values)
         .select("k1", "k2", own_type, F.col("found").alias("anchors"))
     )
+    # the exchanges of all anchors are gone before the texts are exchanged
+    found = stage_table(found, "anchors")
     key = ["k1", "k2"]
     groups = owners(rows.where(F.col("n_bytes") >= length), key)
     # both joins read the texts from this one exchange

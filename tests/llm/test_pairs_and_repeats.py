@@ -192,6 +192,25 @@ def test_suffix_sort_is_an_order():
         assert text[a : a + n] == text[b : b + n] and (n == 30 or text[a + n] != text[b + n])
 
 
+def test_only_windows_that_are_met_again_are_sorted(monkeypatch):
+    rng = random.Random(11)
+    some = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    gram, passage = some(20), some(25)
+    texts = [some(30) + gram + some(30) for _ in range(200)]
+    texts += [edge * 5 + passage + gram + passage + edge * n for edge, n in ((b"1", 3), (b"2", 0), (b"3", 9))]
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.r_[0, np.cumsum(sizes)[:-1]]
+    strings = suffix_dedup.Strings(np.arange(len(texts)), np.zeros(len(texts), np.int64), sizes, np.full(len(texts), 7, np.uint64), data, at)
+    sorted_, sort = [], suffix_dedup.suffix_sort
+    monkeypatch.setattr(suffix_dedup, "suffix_sort", lambda *a: sorted_.append(len(a[2])) or sort(*a))
+    text, begin, end = suffix_dedup.repeated_windows(strings, np.arange(len(texts)), 50)
+    assert list(zip(text.tolist(), begin.tolist(), end.tolist(), strict=True)) == [(201, 5, 75), (202, 5, 75)]
+    assert sorted_ == [3 * 21]
+    lone = strings.take(np.arange(200))
+    assert not len(suffix_dedup.repeated_windows(lone, np.arange(len(texts)), 50)[0])
+
+
 def test_line_chunks_move_only_near_a_change():
     rng = random.Random(11)
     lines = [f"line {rng.randrange(10**9)}" for _ in range(400)]
