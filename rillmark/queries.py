@@ -130,16 +130,26 @@ def geo_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of both families by their longest network: each /24 (or /120) but every fifth, and one large network around all."""
+    """Addresses of both families by their longest network: each /24 (or /120) but every fifth, and one large network around all.
+
+    The table's third parts go beyond 255 where it has more than 65,536 users, and then are no parts of an address:
+    here the users are counted on from 10.0.0.0 and 2001:db8::a00:0, to 4 thousand million of them.
+    """
     events = _events(spark, sf_dir).select("client_ip")
-    part = lambda i: F.get(F.split("client_ip", r"\."), i).cast("int")
-    six = events.select(F.concat(F.lit("2001:DB8::A00:"), F.hex(part(2) * 256 + part(3))).alias("client_ip"))
-    low = events.select(part(2).alias("third")).distinct().withColumn("b", F.col("third") + 655360).where("b % 5 <> 4")
+    part = lambda i: F.get(F.split("client_ip", r"\."), i).cast("long")
+    users = events.select((part(2) * 256 + part(3)).alias("user"))
+    digits = lambda n, step: F.floor(n / step).cast("long")
+    four = lambda n: F.concat_ws(".", *[(digits(n, step) % 256 + (10 if step == 1 << 24 else 0)).cast("string") for step in (1 << 24, 1 << 16, 1 << 8, 1)])
+    six = lambda n, prefix: F.concat(F.lit(prefix), F.hex(digits(n, 1 << 16) + 0xA00), F.lit(":"), F.hex(n % 65536))
+    user = F.col("user")
+    low = users.select(digits(user, 256).alias("third")).distinct().withColumn("b", F.col("third") + 655360).where("b % 5 <> 4")
     place = [F.concat(F.lit("C"), (F.col("b") % 3).cast("string")).alias("country"), F.concat(F.lit("R"), (F.col("b") % 7).cast("string")).alias("region")]
     own = lambda network: low.select(network.alias("network"), *place)
-    networks = own(F.concat(F.lit("10.0."), F.col("third"), F.lit(".0/24"))).union(own(F.concat(F.lit("2001:db8::a00:"), F.hex(F.col("third") * 256), F.lit("/120"))))
-    networks = networks.union(spark.createDataFrame([("10.0.0.0/8", "C8", "R8"), ("2001:db8::/33", "C9", "R9"), ("2001:db8:8000::/33", "C0", "R0"), ("none", "X", "X")], networks.schema))
-    found = geo.with_region_by_network(events.union(six), networks)
+    first = F.col("third") * 256
+    networks = own(F.concat(four(first), F.lit("/24"))).union(own(F.concat(six(first, "2001:db8::"), F.lit("/120"))))
+    networks = networks.union(spark.createDataFrame([("10.0.0.0/8", "C8", "R8"), ("0.0.0.0/0", "C8", "R8"), ("2001:db8::/33", "C9", "R9"), ("2001:db8:8000::/33", "C0", "R0"), ("none", "X", "X")], networks.schema))
+    addresses = users.select(F.when(user.isNotNull(), four(user)).alias("client_ip")).union(users.select(six(user, "2001:DB8::")))
+    found = geo.with_region_by_network(addresses, networks)
     family = F.when(F.contains("client_ip", F.lit(":")), 6).otherwise(4)
     return found.groupBy(family.alias("family"), "geo_country", "region").agg(F.count("*").alias("requests"))
 

@@ -49,3 +49,16 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[0] == "metric_name"
+
+
+def test_networks_of_more_users_than_two_bytes_count(spark, duck, tmp_path):
+    # 65,536 users fill 10.0.0.0/16; the last of these stand beyond 10.0.0.0/8
+    shifts = (0, 90_000, 300_000, 1 << 24, 3_000_000_000)
+    many = " UNION ALL ".join(f"SELECT * REPLACE (user_id + {n} AS user_id) FROM '{DIR}/events.parquet'" for n in shifts)
+    duck.execute(f"COPY ({many}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLES["geo_networks"])
+    columns = [d[0] for d in want.description]
+    df = QUERIES["geo_networks"](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows(columns, want.fetchall())
