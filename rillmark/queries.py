@@ -148,6 +148,7 @@ def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.col("third") * 256
     networks = own(F.concat(four(first), F.lit("/24"))).union(own(F.concat(six(first, "2001:db8::"), F.lit("/120"))))
     networks = networks.union(spark.createDataFrame([("10.0.0.0/8", "C8", "R8"), ("0.0.0.0/0", "C8", "R8"), ("2001:db8::/33", "C9", "R9"), ("2001:db8:8000::/33", "C0", "R0"), ("none", "X", "X")], networks.schema))
+    networks = networks.distinct()  # so that the lookup reads each network as a column, not as the expression above many times
     addresses = users.select(F.when(user.isNotNull(), four(user)).alias("client_ip")).union(users.select(six(user, "2001:DB8::")))
     found = geo.with_region_by_network(addresses, networks)
     family = F.when(F.contains("client_ip", F.lit(":")), 6).otherwise(4)
